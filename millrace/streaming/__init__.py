@@ -1,0 +1 @@
+"""Streaming queries. None is in scope so far, see README."""
