@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans import nation_revenue as nation_revenue_plan
+from millrace.session import configure
 from millrace.sources import read_table
 
 
 def nation_revenue(spark: SparkSession, directory: str) -> DataFrame:
     """Revenue per nation of ASIA in 1996."""
+    configure(spark)
     tables = {
         name: read_table(spark, directory, name)
         for name in ("lineitem", "orders", "customer", "nation", "region")
