@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import math
 
-# What Spark only estimates, from file sizes, is broadcast up to this size: enough
-# for nations and regions. Estimates of a compressed fact table can be far too low.
-ESTIMATED_BROADCAST = "1m"
+from pyspark.sql import SparkSession
 
-# What adaptive execution has measured is broadcast up to this size.
-MEASURED_BROADCAST = "10m"
+MIB = 2**20
+GIB = 2**30
 
-# A shuffle join hashes its smaller side, instead of sorting both, once every
-# partition of that side has been measured to be no larger than this. Spark ignores
-# the setting where the session's advisory partition size is larger.
-HASHED_PARTITION = "64m"
+SETTINGS = {
+    # What Spark only estimates, from file sizes, is broadcast up to this size:
+    # enough for nations and regions. The estimate for a compressed fact table can
+    # be far too low.
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+    # What adaptive execution has measured is broadcast up to this size.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    # A shuffle join hashes its smaller side, instead of sorting both, once every
+    # partition of that side has been measured to be no larger than this. Spark
+    # ignores it where the session's advisory partition size is larger.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Sizes are compressed, and the rows of one hot key compress better than most,
+    # so a partition is split earlier than by default: at twice the median.
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
+}
 
-# Shuffle partitions per core; adaptive execution merges those that come out small.
+# Shuffle partitions per core, so that a slow one does not hold up the rest.
 PARTITIONS_PER_CORE = 3
 FEWEST_PARTITIONS = 200
+# Input per shuffle partition. The large side streams past a hashed small one, so
+# its share need not fit in memory; fewer, larger blocks are cheaper to fetch.
+INPUT_PER_PARTITION = 2 * GIB
+# Scan tasks are kept to about this many, since each writes a block per partition.
+MOST_SCAN_TASKS = 100_000
+SCAN_TASK_BYTES = (128 * MIB, GIB)
+
+
+def shuffle_partitions(cores: int, input_bytes: int) -> int:
+    """Partitions for the shuffle of the largest table."""
+    by_size = math.ceil(input_bytes / INPUT_PER_PARTITION)
+    return max(FEWEST_PARTITIONS, PARTITIONS_PER_CORE * cores, by_size)
+
+
+def scan_task_bytes(input_bytes: int) -> int:
+    """Bytes of files that one scan task reads."""
+    least, most = SCAN_TASK_BYTES
+    return min(max(least, math.ceil(input_bytes / MOST_SCAN_TASKS)), most)
+
 
+def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Set what the session leaves unset; a value that is set stays as it is.
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Set what the session leaves unset; a value that is set stays as it is."""
+    The registered queries call this without a size. To run on a large input, call
+    it first with the input's size in bytes, or give Spark the settings at launch.
+    """
 
     def is_set(key: str) -> bool:
         return spark.conf.get(key, None) is not None
 
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": ESTIMATED_BROADCAST,
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": MEASURED_BROADCAST,
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": HASHED_PARTITION,
-    }
+    settings = dict(SETTINGS)
     if not is_set("spark.sql.shuffle.partitions"):
+        # Adaptive execution starts from this number and merges small partitions.
         cores = spark.sparkContext.defaultParallelism
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
-            max(FEWEST_PARTITIONS, PARTITIONS_PER_CORE * cores)
+            shuffle_partitions(cores, input_bytes)
         )
+    if input_bytes:
+        settings["spark.sql.files.maxPartitionBytes"] = str(scan_task_bytes(input_bytes))
     for key, value in settings.items():
         if not is_set(key):
             spark.conf.set(key, value)

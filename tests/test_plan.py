@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.plans import nation_revenue
 from millrace.registry import nation_revenue as registered
-from millrace.session import configure
 from millrace.sources import SCHEMAS, read_table
 from tests.conftest import TESTDATA
 
@@ -45,6 +44,7 @@ def at_scale(with_conf):
         adaptive__autoBroadcastJoinThreshold="16k",
         adaptive__advisoryPartitionSizeInBytes="16k",
         adaptive__maxShuffledHashJoinLocalMapThreshold="1m",
+        adaptive__skewJoin__skewedPartitionFactor="2",
         adaptive__skewJoin__skewedPartitionThresholdInBytes="32k",
     )
 
@@ -127,10 +127,7 @@ def test_a_side_too_large_to_hash_is_sorted(spark, at_scale, with_conf):
 @pytest.mark.parametrize("hashed", ["1m", "0"])
 def test_hot_order_and_customer_are_split(spark, duck, at_scale, with_conf, hashed):
     """A third of the orders is one customer's, a third of the lines one order's."""
-    with_conf(
-        adaptive__maxShuffledHashJoinLocalMapThreshold=hashed,
-        adaptive__skewJoin__skewedPartitionFactor="2",
-    )
+    with_conf(adaptive__maxShuffledHashJoinLocalMapThreshold=hashed)
     tables = tables_at(spark, LARGE)
     hot_customer, hot_order = duck(
         "0.1",
@@ -190,12 +187,3 @@ def test_declared_schemas_are_those_of_the_files(spark):
     for name in SCHEMAS:
         path = f"{SMALL}/{name}.parquet"
         assert read_table(spark, SMALL, name).schema == spark.read.parquet(path).schema
-
-
-def test_configure_keeps_what_is_set(spark, with_conf):
-    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    with_conf(adaptive__autoBroadcastJoinThreshold="3m")
-    configure(spark)
-    assert spark.conf.get(key) == "3m"
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") is not None
