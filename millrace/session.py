@@ -67,7 +67,8 @@ def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
             shuffle_partitions(cores, input_bytes)
         )
     if input_bytes:
-        settings["spark.sql.files.maxPartitionBytes"] = str(scan_task_bytes(input_bytes))
+        scan_bytes = scan_task_bytes(input_bytes)
+        settings["spark.sql.files.maxPartitionBytes"] = str(scan_bytes)
     for key, value in settings.items():
         if not is_set(key):
             spark.conf.set(key, value)

@@ -100,7 +100,8 @@ def make(out: str, copies: int) -> None:
         )
         # Copies differ in price, so that they do not compress to nothing.
         .withColumn(
-            "l_extendedprice", F.round(F.col("l_extendedprice") + F.col("copy") * 3.17, 2)
+            "l_extendedprice",
+            F.round(F.col("l_extendedprice") + F.col("copy") * 3.17, 2),
         ),
     }
     for name, frame in enlarged.items():
@@ -126,8 +127,8 @@ def task_totals(log_folder: str) -> dict[str, collections.Counter]:
                     written = task["Shuffle Write Metrics"]["Shuffle Bytes Written"]
                     total["shuffled_mb"] += written / 1e6
                     total["cpu_s"] += task["Executor CPU Time"] / 1e9
-                    longest = max(total["longest_task_s"], task["Executor Run Time"] / 1e3)
-                    total["longest_task_s"] = longest
+                    ran = task["Executor Run Time"] / 1e3
+                    total["longest_task_s"] = max(total["longest_task_s"], ran)
     return totals
 
 

@@ -69,6 +69,9 @@ def test_filters_and_columns_reach_the_scans(spark):
     assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in scans["orders"]
     assert "LessThan(o_orderdate,1" in scans["orders"]
     assert "EqualTo(r_name,ASIA)" in scans["region"]
+    # Rows without a key, however many, do not reach a shuffle.
+    assert "[IsNotNull(l_orderkey)]" in scans["lineitem"]
+    assert "isnotnull(o_custkey" in planned(registered(spark, SMALL))
 
 
 def test_only_nations_and_regions_are_broadcast_at_scale(spark, at_scale):
@@ -142,7 +145,9 @@ def test_hot_order_and_customer_are_split(spark, duck, at_scale, with_conf, hash
     # Each test table is one row group, so one task would write all of its shuffle.
     tables["orders"] = tables["orders"].repartition(16).withColumn(
         "o_custkey",
-        F.when(F.col("o_orderkey") % 3 == 0, hot_customer).otherwise(F.col("o_custkey")),
+        F.when(F.col("o_orderkey") % 3 == 0, hot_customer).otherwise(
+            F.col("o_custkey")
+        ),
     )
     tables["lineitem"] = tables["lineitem"].repartition(16).withColumn(
         "l_orderkey",
@@ -155,7 +160,8 @@ def test_hot_order_and_customer_are_split(spark, duck, at_scale, with_conf, hash
         f"""WITH l AS (SELECT * REPLACE (CASE WHEN l_partkey % 3 = 0 THEN {hot_order}
                                               ELSE l_orderkey END AS l_orderkey)
                        FROM lineitem),
-                 o AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN {hot_customer}
+                 o AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0
+                                              THEN {hot_customer}
                                               ELSE o_custkey END AS o_custkey)
                        FROM orders)
             SELECT n_name,
