@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import pytest
 
+from millrace.registry import nation_revenue
 from millrace.session import GIB, MIB, SETTINGS, configure
 from millrace.session import scan_task_bytes, shuffle_partitions
+from tests.conftest import TESTDATA
 
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SCAN = "spark.sql.files.maxPartitionBytes"
@@ -43,6 +45,18 @@ def test_sizes_for_a_large_input(bare):
     assert bare.conf.get(INITIAL) == "46567"
 
 
+def test_same_rows_from_as_many_partitions_as_a_large_input_gets(spark, bare):
+    directory = f"{TESTDATA}/sf0.01"
+    expected = sorted(map(tuple, nation_revenue(spark, directory).collect()))
+    bare.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    bare.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    configure(bare, input_bytes=10**14)
+    frame = nation_revenue(bare, directory)
+    assert sorted(map(tuple, frame.collect())) == expected
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and ", 46567)" in plan
+
+
 def test_partitions_follow_cores_and_size():
     assert shuffle_partitions(8, 0) == 200
     assert shuffle_partitions(8_000, 10**12) == 24_000
