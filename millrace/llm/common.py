@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 #: White space between words: blank, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A side is broadcast only when it has been counted and is no larger than this.
-BROADCAST_ROWS = 5_000
+#: Keys of one number are broadcast only when they have been counted and are no more.
+BROADCAST_KEYS = 500_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -53,6 +53,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def by_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` semi or anti joined with stored ``keys`` of one number.
+
+    Few keys, as counted, are sent to all tasks, so that the rows of ``df``, with their
+    texts, need not be shuffled; more are joined by a shuffle.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import textblocks as tb
-from millrace.llm.common import prepare, stored
+from millrace.llm.common import by_keys, prepare, stored
 from millrace.llm.graph import components
 
 #: N-grams in a block of a cluster; a task holds two blocks at most.
@@ -55,7 +55,7 @@ def _least(n: int, percent: int) -> int:
 
 
 def _extra(n: int) -> int:
-    return -(-n // 10)
+    return -(-n // 20)
 
 
 def _key(hashes: np.ndarray) -> np.int64:
@@ -116,7 +116,8 @@ def _shown(k: int, percent: int):
             shared = ~(head & tail)
             here, at, seen = np.unique(key[shared], return_index=True, return_counts=True)
             # The first and the last of a shared token go on, as rows that need no count.
-            send = head | tail
+            send = np.flatnonzero(head | tail)
+            send = send[np.argsort(key[send], kind="stable")]  # rows of a key on end pack well
             counted = shared[send]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -304,9 +305,9 @@ def jaccard_components(
         .filter("met > 0")
     )
     enough = met.groupBy("key").agg(F.sum("met").alias("met"), F.max("need").alias("need")).filter("met >= need")
-    wanted = classes.join(enough, "key", "left_semi").select(F.col("label").alias("id"))
+    wanted = classes.join(enough, "key", "left_semi").select(F.col("label").alias("id")).distinct()
     full = (
-        rows.join(wanted, "id", "left_semi")
+        by_keys(rows, stored(wanted), "id", "left_semi")
         .mapInArrow(_full_sets(k), "key long, tokens array<long>")
         .filter("size(tokens) > 0")
         .dropDuplicates(["key"])
@@ -389,10 +390,13 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: i
     repeated rows are cut to one. Rows without an id stay.
     """
     groups = jaccard_components(docs, id=id, text=text, k=k, percent=percent)
-    drop = groups.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    copies = groups.filter(F.col(id) == F.col("component_id")).groupBy(id).count().filter("count > 1")
-    once = docs.join(drop, id, "left_anti")
+    groups = stored(groups)
+    drop = stored(groups.filter(F.col(id) != F.col("component_id")).select(id).distinct())
+    once = by_keys(docs, drop, id, "left_anti")
+    copies = stored(
+        groups.filter(F.col(id) == F.col("component_id")).groupBy(id).count().filter("count > 1").select(id)
+    )
     if copies.isEmpty():
         return once
-    several = once.join(copies, id, "left_semi").dropDuplicates([id, text])
-    return once.join(copies, id, "left_anti").unionByName(several)
+    several = by_keys(once, copies, id, "left_semi").dropDuplicates([id, text])
+    return by_keys(once, copies, id, "left_anti").unionByName(several)
