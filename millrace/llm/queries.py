@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.prefix_tree_join import jaccard_components
+from millrace.llm.suffix_dedup import repeated_spans
 
 
 def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -19,8 +20,39 @@ def op3_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_components(_read(spark, directory, "documents"), k=5, percent=75)
 
 
+def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Passages of 50 words or more that stand in the documents more than once."""
+    return repeated_spans(_read(spark, directory, "documents"), span=50, head=10).drop("crc")
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (
+  SELECT doc_id, pos, array_to_string(words[pos + 1:pos + 50], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS pos FROM w WHERE len(words) >= 50)),
+f AS (
+  SELECT doc_id, pos, passage, first_value(doc_id) OVER o AS d0, first_value(pos) OVER o AS p0
+  FROM p WINDOW o AS (PARTITION BY passage ORDER BY doc_id, pos)),
+m AS (SELECT *, d0 <> doc_id OR pos - p0 >= 50 AS removed FROM f),
+g AS (SELECT *, bool_or(removed) OVER (PARTITION BY passage) AS again FROM m),
+k AS (SELECT doc_id, pos, removed FROM g WHERE removed OR (again AND doc_id = d0 AND pos = p0)),
+i AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, removed ORDER BY pos) AS prev FROM k),
+j AS (
+  SELECT *, sum(CASE WHEN prev IS NULL OR pos > prev + 50 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id, removed ORDER BY pos) AS island FROM i)
+SELECT doc_id, CAST(min(pos) AS BIGINT) AS start_word,
+  CAST(max(pos) + 50 - min(pos) AS BIGINT) AS n_words, removed
+FROM j GROUP BY doc_id, removed, island
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_suffix_dedup": OP6_SQL,
+}
