@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.prefix_tree_join import jaccard_components
+from millrace.llm.quality_ratio import quality_rules
+from millrace.llm.sequence_packing import packed
+from millrace.llm.source_mixing import mixed, source_sizes, tempered_weights, with_position
 from millrace.llm.suffix_dedup import repeated_spans
 
 
@@ -15,11 +18,68 @@ def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+#: Shares of the sources: their sizes to this power.
+FLATTEN = 0.7
+
+
+def op2_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    """The copies of one epoch, mixed to flattened shares of the sources, in order."""
+    docs = _read(spark, directory, "documents")
+    weights = tempered_weights(source_sizes(docs), FLATTEN)
+    return with_position(mixed(docs, weights)).select(
+        F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "n_copies", "copy", "position"
+    )
+
+
+OP2_SQL = """
+WITH s AS (
+  SELECT source, CAST(sum(greatest(strlen(coalesce(text, '')), 1)) AS DOUBLE) AS size FROM documents GROUP BY source),
+r AS (SELECT source, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () * sum(size) OVER () / size AS rate FROM s),
+m AS (
+  SELECT source, CAST(greatest(1, ceil(rate / 8.0)) AS INTEGER) AS parts, rate / greatest(1, ceil(rate / 8.0)) AS mean
+  FROM r),
+c AS (
+  SELECT source, parts, list(cdf ORDER BY j) AS cdf FROM (
+    SELECT source, parts, j, sum(exp(-mean) * pow(mean, j) / factorial(CAST(j AS INTEGER)))
+      OVER (PARTITION BY source ORDER BY j) AS cdf
+    FROM m, range(0, 30) AS t(j)) GROUP BY source, parts),
+d AS (
+  SELECT doc_id, source, cdf,
+    CAST('0x' || substr(md5(concat_ws(':', 'mix', doc_id, i)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, documents.source, cdf, unnest(range(1, parts + 1)) AS i
+        FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source)),
+n AS (
+  SELECT doc_id, source, sum(len(list_filter(cdf, lambda x: x <= u))) AS n_copies FROM d GROUP BY doc_id, source),
+k AS (SELECT doc_id, source, n_copies, unnest(range(0, CAST(n_copies AS BIGINT))) AS copy FROM n),
+o AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws(':', 'mix:order', doc_id, copy)), 1, 13) AS BIGINT) AS place FROM k)
+SELECT doc_id, source, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy AS BIGINT) AS copy,
+  CAST(row_number() OVER (ORDER BY place, doc_id, copy) - 1 AS BIGINT) AS position
+FROM o
+"""
+
+
 def op3_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     """Components of documents that share 75 of 100 five-word shingles."""
     return jaccard_components(_read(spark, directory, "documents"), k=5, percent=75)
 
 
+def op5_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """Base counts and the verdict on every document; trusted are those of quality 1."""
+    trusted = _read(spark, directory, "labels").filter("quality = 1")
+    return quality_rules(_read(spark, directory, "documents"), trusted).select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "score",
+    )
+
+
 def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Passages of 50 words or more that stand in the documents more than once."""
     return repeated_spans(_read(spark, directory, "documents"), span=50, head=10).drop("crc")
@@ -48,11 +108,20 @@ FROM j GROUP BY doc_id, removed, island
 """
 
 
+def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents as tokens in sequences of 1024."""
+    return packed(_read(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
     "op6_suffix_dedup": OP6_SQL,
 }
