@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bin_sharding import sharded
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
@@ -64,6 +65,11 @@ def op3_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_components(_read(spark, directory, "documents"), k=5, percent=75)
 
 
+def op4_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents in 24 shards of near equal bytes, equal texts together."""
+    return sharded(_read(spark, directory, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     """Base counts and the verdict on every document; trusted are those of quality 1."""
     trusted = _read(spark, directory, "labels").filter("quality = 1")
@@ -116,6 +122,7 @@ def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_packing": op8_packing,

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from millrace.llm import textblocks as tb
@@ -233,10 +234,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n >= len(start) and a:
                     keep[end[a - 1] : start[a]] = False
             out.append(own[keep].tobytes().decode())
-        names = batch.schema.names[2:]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[2:], pa.array(out, pa.string())], [*names, "_text"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.string())], ["doc", "text"])
 
 
 def without_repeats(
@@ -254,16 +252,24 @@ def without_repeats(
         .agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("_spans"))
         .select(F.col(id).alias("_id"), F.col("crc").alias("_crc"), "_spans")
     )
-    marked = docs.join(spans, (F.col(id) == F.col("_id")) & (F.crc32(F.col(text)) == F.col("_crc")), "left")
-    columns = [F.col(c) for c in docs.columns]
-    untouched = marked.filter("_spans IS NULL").select(*columns)
-    touched = marked.filter("_spans IS NOT NULL")
-    rest = [f for f in docs.schema.fields if f.name != text]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    cut = touched.select(F.col(text), "_spans", *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(
-        _cut, f"{fields}{', ' if rest else ''}_text string"
+    # Rows are carried whole, so that their columns cannot clash with those made here.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    marked = held.join(
+        spans, (F.col("doc")[id] == F.col("_id")) & (F.crc32(F.col("doc")[text]) == F.col("_crc")), "left"
+    )
+    untouched = marked.filter("_spans IS NULL").select("doc.*")
+    cut = (
+        marked.filter("_spans IS NOT NULL")
+        .select(F.col("doc")[text].alias("text"), "_spans", "doc")
+        .mapInArrow(_cut, StructType([StructField("doc", docs.schema), StructField("text", StringType())]))
+        .filter(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0)
     )
-    cut = cut.filter(F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]", "")) > 0).withColumnRenamed("_text", text)
-    if length and length in docs.columns:
-        cut = cut.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return untouched.unionByName(cut.select(*docs.columns))
+
+    def anew(c: str) -> Column:
+        if c == text:
+            return F.col("text").alias(c)
+        if c == length:
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col("doc")[c].alias(c)
+
+    return untouched.unionByName(cut.select(*[anew(c) for c in docs.columns]))
