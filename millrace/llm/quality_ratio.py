@@ -144,19 +144,22 @@ def quality_rules(
     without words; such texts fail the rules.
     """
     table = F.from_json(F.lit(json.dumps(ratios(docs, trusted, id=id, text=text))), "array<double>")
+    # One expression from text to verdict, so that no rewriting of the plan can move it
+    # apart and split a text more than once.
+    def counts(word: Column) -> Column:
+        score = F.aggregate(_ngrams(word), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        base = _base(body, word) | {"score": score / (2 * F.size(word) - 1)}
+        return F.struct(*[c.alias(n) for n, c in base.items()])
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < FEWEST_WORDS) | (
+            100 * c["n_repeat_words"] > MOST_REPEATED_PERCENT * c["n_words"]
+        )
+        kept = ~failed & F.coalesce(c["score"] >= threshold, F.lit(False))
+        return F.struct(c.alias("c"), failed.alias("base_failed"), kept.alias("kept"))
+
     # A row is carried whole, so that its columns cannot clash with those made here.
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     body = F.col("doc")[text].cast("string")
-    split = held.withColumn("word", words(body))
-    word = F.col("word")
-    counted = split.withColumns(_base(body, word))
-    total = F.aggregate(
-        _ngrams(word), F.lit(0.0), lambda a, b: a + F.get(table, b)
-    )
-    scored = counted.withColumn("score", total / (2 * F.size(word) - 1)).drop("word")
-    failed = (F.col("n_words") < FEWEST_WORDS) | (
-        100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
-    )
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
-    )
+    found = let(words(body), lambda word: let(counts(word), judged))
+    return held.withColumn("found", found).select("doc", "found.c.*", "found.base_failed", "found.kept")
