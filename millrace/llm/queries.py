@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
+from millrace.llm.collision_search import nearest
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
@@ -19,6 +20,11 @@ def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+def op1_collision_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The 20 largest inner products of every vector whose id 20 divides."""
+    return nearest(_read(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 #: Shares of the sources: their sizes to this power.
 FLATTEN = 0.7
 
@@ -120,6 +126,7 @@ def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_search": op1_collision_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
