@@ -14,6 +14,7 @@ from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
 from millrace.llm.source_mixing import mixed, source_sizes, tempered_weights, with_position
 from millrace.llm.suffix_dedup import repeated_spans
+from millrace.llm.toxicity_fm import toxicity
 
 
 def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -125,6 +126,11 @@ def op8_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packed(_read(spark, directory, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels that are not held out."""
+    return toxicity(_read(spark, directory, "documents"), _read(spark, directory, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_search": op1_collision_search,
     "op2_source_mixing": op2_source_mixing,
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
 }
 
