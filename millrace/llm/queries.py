@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
 from millrace.llm.collision_search import nearest
+from millrace.llm.language_gru import languages
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
@@ -131,6 +132,11 @@ def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity(_read(spark, directory, "documents"), _read(spark, directory, "labels"))
 
 
+def op9_language(spark: SparkSession, directory: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return languages(_read(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_search": op1_collision_search,
     "op2_source_mixing": op2_source_mixing,
@@ -140,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
