@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
 from millrace.llm.collision_search import nearest
+from millrace.llm.html_tree import main_text
 from millrace.llm.language_gru import languages
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
@@ -137,6 +138,11 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
     return languages(_read(spark, directory, "documents"))
 
 
+def op10_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(_read(spark, directory, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_search": op1_collision_search,
     "op2_source_mixing": op2_source_mixing,
@@ -147,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
