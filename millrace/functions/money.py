@@ -17,8 +17,10 @@ UNITS_PER_WHOLE = 10_000
 
 def _hundredths(amount: Column) -> Column:
     # Exact for every two-decimal amount below 2**51 hundredths: the error of
-    # amount * 100 is then under one half.
-    return F.rint(amount * 100).cast("bigint")
+    # amount * 100 is then under one half. Other amounts go to the nearest hundredth,
+    # halves away from zero, as decimal casts do.
+    near = F.floor(F.abs(amount * 100) + 0.5)
+    return (F.signum(amount) * near).cast("bigint")
 
 
 def net_price(price: Column, discount: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,21 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
 }
 
+# Settings that a running session refuses; give them to its builder.
+#
+# Beyond HIGHLY_COMPRESSED shuffle partitions Spark keeps one average for all blocks
+# of a map task that are not very large, and adaptive execution no longer sees a hot
+# partition. With this factor it keeps the sizes of blocks of twice the median too,
+# which is also where a partition counts as skewed.
+SKEW_SEEN = "spark.shuffle.accurateBlockSkewedFactor"
+LAUNCH_SETTINGS = {SKEW_SEEN: "2"}
+HIGHLY_COMPRESSED = 2_000
+
+# Where a session notes what configure has set in it, as JSON.
+NOTE = "spark.millrace.configured"
+PARTITIONS = "spark.sql.shuffle.partitions"
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 # Shuffle partitions per core, so that a slow one does not hold up the rest.
 PARTITIONS_PER_CORE = 3
 FEWEST_PARTITIONS = 200
@@ -49,27 +66,48 @@ def scan_task_bytes(input_bytes: int) -> int:
     return min(max(least, math.ceil(input_bytes / MOST_SCAN_TASKS)), most)
 
 
+def launch_settings() -> dict[str, str]:
+    """What a session for large inputs has to be started with, for its builder."""
+    return dict(LAUNCH_SETTINGS)
+
+
+def _warn_of_unseen_skew(spark: SparkSession, partitions: int) -> None:
+    factor = float(spark.sparkContext.getConf().get(SKEW_SEEN, "-1"))
+    if partitions > HIGHLY_COMPRESSED and factor <= 0:
+        warnings.warn(
+            f"{partitions} shuffle partitions, but {SKEW_SEEN} is not set: hot keys would "
+            "not be split. Start the session with millrace.session.launch_settings().",
+            RuntimeWarning,
+            stacklevel=3,
+        )
+
+
 def configure(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Set what the session leaves unset; a value that is set stays as it is.
+    """Set what the session leaves unset; a value that the user set stays as it is.
 
-    The registered queries call this without a size. To run on a large input, call
-    it first with the input's size in bytes, or give Spark the settings at launch.
+    The registered queries call this without a size. For a large input, call it with
+    the input's size in bytes, before or after: a call with a size replaces what
+    earlier calls set, a call without one leaves it. Warns where hot keys could not be
+    seen, for want of ``launch_settings``.
     """
+    own: dict[str, str] = json.loads(spark.conf.get(NOTE, None) or "{}")
 
-    def is_set(key: str) -> bool:
-        return spark.conf.get(key, None) is not None
+    def is_users(key: str) -> bool:
+        value = spark.conf.get(key, None)
+        return value is not None and own.get(key) != value
 
     settings = dict(SETTINGS)
-    if not is_set("spark.sql.shuffle.partitions"):
+    if not is_users(PARTITIONS):
         # Adaptive execution starts from this number and merges small partitions.
         cores = spark.sparkContext.defaultParallelism
-        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
-            shuffle_partitions(cores, input_bytes)
-        )
+        settings[INITIAL] = str(shuffle_partitions(cores, input_bytes))
     if input_bytes:
-        scan_bytes = scan_task_bytes(input_bytes)
-        settings["spark.sql.files.maxPartitionBytes"] = str(scan_bytes)
+        settings["spark.sql.files.maxPartitionBytes"] = str(scan_task_bytes(input_bytes))
     for key, value in settings.items():
-        if not is_set(key):
+        if not is_users(key) and (input_bytes or key not in own):
             spark.conf.set(key, value)
+            own[key] = value
+    spark.conf.set(NOTE, json.dumps(own))
+    started = spark.conf.get(PARTITIONS, None) if is_users(PARTITIONS) else None
+    _warn_of_unseen_skew(spark, int(started or spark.conf.get(INITIAL, None) or FEWEST_PARTITIONS))
     return spark

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
+from millrace.session import launch_settings
 from millrace.sources import SCHEMAS
 
 TESTDATA = "/root/testdata"
@@ -18,6 +19,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "6g")
+        .config(map=launch_settings())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

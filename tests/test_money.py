@@ -53,6 +53,26 @@ def test_every_hundredth_up_to_two_million(spark):
     assert wrong.count() == 0
 
 
+def test_halves_of_a_hundredth_go_away_from_zero(spark, duck):
+    """As DuckDB's casts do; and Spark's, where binary holds the half exactly."""
+    halves = [(k * 10 + 5) / 1000 for k in range(-3000, 3001)]
+    halves = [h for h in halves if abs(h) < 9.99]
+    frame = spark.createDataFrame([(h,) for h in halves], "x double")
+    got = frame.select(
+        "x", (net_price(F.col("x"), F.lit(0.0)) / 100).cast("bigint").alias("price"),
+        ((100 - net_price(F.lit(1.0), F.col("x")) / 100)).cast("bigint").alias("discount"),
+        (F.col("x").cast("decimal(12,2)") * 100).cast("bigint").alias("spark"),
+    ).collect()
+    values = ", ".join(f"({h!r}::DOUBLE)" for h in halves)
+    sql = f"""SELECT x, CAST(CAST(x AS DECIMAL(12,2)) * 100 AS BIGINT),
+              CAST(CAST(x AS DECIMAL(3,2)) * 100 AS BIGINT) FROM (VALUES {values}) AS t(x)"""
+    expected = {x: (price, discount) for x, price, discount in duck("0.001", sql)[1]}
+    assert {r.x: (r.price, r.discount) for r in got} == expected
+    exact = [r for r in got if (r.x * 8).is_integer()]
+    assert len(exact) > 50
+    assert all(r.price == r.spark for r in exact)
+
+
 def test_total_outgrows_bigint(spark):
     """Line amounts fit a bigint, their sum need not."""
     largest = 10**18 - 1

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from millrace.registry import nation_revenue
-from millrace.session import GIB, MIB, SETTINGS, configure
+from millrace.session import GIB, MIB, SETTINGS, configure, launch_settings
 from millrace.session import scan_task_bytes, shuffle_partitions
 from tests.conftest import TESTDATA
 
