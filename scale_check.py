@@ -1,13 +1,16 @@
 """Runs the registered queries on enlarged, skewed copies of the given tables.
 
-    python scale_check.py make OUT [COPIES]   write the enlarged tables to OUT
-    python scale_check.py run OUT             run queries and SQL on them, compare
+    python scale_check.py make OUT [COPIES]    write the enlarged tables to OUT
+    python scale_check.py run OUT [BYTES]      run queries and SQL on them, compare
 
 ``make`` repeats the tables under new keys, then gives a third of the orders to one
-customer and a third of the line items to one order. ``run`` executes each query
-twice, and its SQL, written as plain joins, twice in the same Spark; both must give
-the same rows. It prints the time of the second run, what was shuffled, and the
-longest task.
+customer, a third of the line items to one order and a tenth to another. ``run`` sizes
+the session with ``configure``, for BYTES of input or those that are there, so it can
+have as many partitions as a far larger input. It executes each query twice, and its
+SQL, written as plain joins, twice in the same Spark with default settings; both must
+give the same rows. It prints the time of the second run, what was shuffled, the
+longest task, how many joins were split, and where Spark's event log is. It works on
+one machine.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import os
 import sys
 import tempfile
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import ORACLE_SQL, QUERIES
+from millrace.session import configure, launch_settings
 from millrace.sources import SCHEMAS, read_table
 
 SOURCE = "/root/testdata/sf0.1"
@@ -35,8 +40,8 @@ def session(**settings: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
         .appName("scale_check")
-        .config("spark.driver.memory", "16g")
-        .config("spark.sql.shuffle.partitions", "64")
+        .config("spark.driver.memory", "10g")
+        .config(map=launch_settings())
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -48,8 +53,9 @@ def session(**settings: str) -> SparkSession:
     return spark
 
 
-def one_third(*columns: str):
-    return F.pmod(F.xxhash64(*columns), F.lit(3)) == 0
+def share_of_30(*columns: str):
+    """0 to 29, by a hash."""
+    return F.pmod(F.xxhash64(*columns), F.lit(30))
 
 
 def make(out: str, copies: int) -> None:
@@ -60,7 +66,7 @@ def make(out: str, copies: int) -> None:
         numbers = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
         return tables[name].repartition(FILES).withColumn("copy", numbers)
 
-    buyer = (
+    first, second = (
         tables["orders"]
         .filter(F.year("o_orderdate") == 1996)
         .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
@@ -69,13 +75,14 @@ def make(out: str, copies: int) -> None:
         .filter("r_name = 'ASIA'")
         .orderBy("o_orderkey")
         .select("o_orderkey", "o_custkey")
-        .first()
+        .take(2)
     )
     customer_shift = F.col("copy") * CUSTOMER_STRIDE
     order_shift = F.col("copy") * ORDER_STRIDE
-    hot_customer = one_third("o_orderkey", "copy") & (
-        F.col("o_orderkey") != buyer.o_orderkey
+    hot_customer = (share_of_30("o_orderkey", "copy") < 10) & ~F.col("o_orderkey").isin(
+        first.o_orderkey, second.o_orderkey
     )
+    line_share = share_of_30("l_orderkey", "l_partkey", "l_extendedprice", "copy")
     enlarged = {
         "region": tables["region"],
         "nation": tables["nation"],
@@ -85,7 +92,7 @@ def make(out: str, copies: int) -> None:
         "orders": repeated("orders")
         .withColumn(
             "o_custkey",
-            F.when(hot_customer, buyer.o_custkey).otherwise(
+            F.when(hot_customer, first.o_custkey).otherwise(
                 F.col("o_custkey") + customer_shift
             ),
         )
@@ -93,10 +100,9 @@ def make(out: str, copies: int) -> None:
         "lineitem": repeated("lineitem")
         .withColumn(
             "l_orderkey",
-            F.when(
-                one_third("l_orderkey", "l_partkey", "l_extendedprice", "copy"),
-                buyer.o_orderkey,
-            ).otherwise(F.col("l_orderkey") + order_shift),
+            F.when(line_share < 10, first.o_orderkey)
+            .when(line_share < 13, second.o_orderkey)
+            .otherwise(F.col("l_orderkey") + order_shift),
         )
         # Copies differ in price, so that they do not compress to nothing.
         .withColumn(
@@ -132,7 +138,7 @@ def task_totals(log_folder: str) -> dict[str, collections.Counter]:
     return totals
 
 
-def run(out: str) -> None:
+def run(out: str, input_bytes: int = 0) -> None:
     logs = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = session(
         spark__eventLog__enabled="true",
@@ -141,9 +147,11 @@ def run(out: str) -> None:
         spark__eventLog__rolling__enabled="false",
     )
     plain = spark.newSession()
+    there = sum(p.stat().st_size for p in Path(out).rglob("*.parquet") if p.is_file())
+    configure(spark, input_bytes=input_bytes or there)
     for name in SCHEMAS:
         read_table(plain, out, name).createOrReplaceTempView(name)
-    seconds, rows = {}, {}
+    seconds, rows, splits = {}, {}, {}
     for name in QUERIES:
         ways = {
             f"{name} query": lambda: QUERIES[name](spark, out),
@@ -153,8 +161,11 @@ def run(out: str) -> None:
             for label_of_run in (f"{label} first", label):
                 spark.sparkContext.setJobDescription(label_of_run)
                 begin = time.perf_counter()
-                rows[label] = sorted(map(tuple, way().collect()))
+                frame = way()
+                rows[label] = sorted(map(tuple, frame.collect()))
                 seconds[label] = round(time.perf_counter() - begin, 1)
+                plan = frame._jdf.queryExecution().executedPlan().toString()
+                splits[label] = plan.split("== Initial Plan ==")[0].count("skew=true")
     spark.stop()
     totals = task_totals(logs)
     for name in QUERIES:
@@ -166,8 +177,9 @@ def run(out: str) -> None:
         }
         for way, label in (("query", query), ("sql", sql)):
             figures = {key: round(value, 1) for key, value in totals[label].items()}
-            result[way] = {"seconds": seconds[label], **figures}
+            result[way] = {"seconds": seconds[label], "split": splits[label], **figures}
         print(json.dumps(result))
+    print(f"event log: {logs}")
 
 
 if __name__ == "__main__":
@@ -178,5 +190,7 @@ if __name__ == "__main__":
             make(out, int(copies))
         case ["run", out]:
             run(out)
+        case ["run", out, input_bytes]:
+            run(out, int(float(input_bytes)))
         case _:
             sys.exit(__doc__)
