@@ -165,10 +165,12 @@ def repeated_spans(
             _suffixes(span, head), "id long, crc long, head long, stretch long, first int, last int"
         )
     )
-    often = suffixes.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1")
+    # Sums are stored before they are joined: Spark splits a hot key's rows only where
+    # both sides of a join come straight from a shuffle.
+    often = stored(suffixes.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"))
     live = stored(suffixes.join(often, "head", "left_semi").select("id", "crc", "stretch", "first", "last"))
 
-    bounds = live.groupBy("stretch").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
+    bounds = stored(live.groupBy("stretch").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi")))
     placed = stored(
         live.join(bounds, "stretch")
         .withColumn("again", _apart(span, "lo", "hi"))
@@ -188,10 +190,11 @@ def repeated_spans(
         .select("id", "crc", "text", "runs")
         .mapInArrow(_passages(span), "id long, crc long, passage long, first int, again boolean")
     )
-    bounds = (
+    bounds = stored(
         passages.groupBy("passage")
         .agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi"), F.max("again").alias("any"))
         .filter(_apart(span, "lo", "hi") | F.col("any"))
+        .select("passage", "lo")
     )
     met = passages.join(bounds, "passage").withColumn("here", _place())
     single = met.withColumn("removed", _apart(span, "lo", "here")).filter(
