@@ -10,7 +10,8 @@ from millrace.llm.common import stored
 
 def _to_smallest(neighbours: DataFrame, keep) -> DataFrame:
     """Link what a node is linked with to the smallest node among it and the node."""
-    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Stored, so that the join can split the rows of a node with very many links.
+    least = stored(neighbours.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return neighbours.join(least, "u").filter(keep)
 
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _to_smallest(both, F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
-        large = tidy(large)
+        large = stored(tidy(large))
         small = _to_smallest(large, F.lit(True))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))

@@ -315,8 +315,10 @@ def jaccard_components(
     full = stored(full)
 
     # Their n-grams that another remaining set has too, with the number of such sets.
+    # Sums are stored before they are joined: Spark splits a hot key's rows only where
+    # both sides of a join come straight from a shuffle.
     each = full.select("key", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    often = stored(each.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1"))
     shared = each.join(often, "token")
     sets = (
         shared.groupBy("key")
@@ -337,12 +339,15 @@ def jaccard_components(
     spare = F.size("tokens") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     first = sets.select("key", F.explode(F.slice("tokens", F.lit(1), spare)).alias("token"))
     centre = first.groupBy("token").agg(F.min("key").alias("v"), F.count("*").alias("m")).filter("m > 1")
+    centre = stored(centre.select("token", "v"))
     stars = first.join(centre, "token").select(F.col("key").alias("u"), "v").distinct()
     clusters = components(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
-    placed = sets.join(clusters, "key")
-    weights = placed.groupBy("cluster").agg(
-        F.ceil(F.sum(F.size("tokens")) / F.lit(block)).cast("int").alias("blocks")
+    placed = stored(sets.join(clusters, "key"))
+    weights = stored(
+        placed.groupBy("cluster").agg(
+            F.ceil(F.sum(F.size("tokens")) / F.lit(block)).cast("int").alias("blocks")
+        )
     )
     dealt = placed.join(weights, "cluster").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -361,12 +366,12 @@ def jaccard_components(
     # Blocks of one cluster meet in their common classes.
     whole = components(found.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     whole = whole.select(F.col("node").alias("key"), "root")
-    smallest = (
+    smallest = stored(
         whole.join(classes, "key").groupBy("root").agg(F.min("label").alias("component"))
     )
     reached = whole.join(smallest, "root").select("key", "component")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    known = (
+    known = stored(
         classes.join(links, "key", "left")
         .join(reached, "key", "left")
         .select("key", "label", "copies", "links", "component")
