@@ -35,9 +35,9 @@ FEATURES = 1024
 #: Standard deviations by which a feature's toxic texts depart from chance, at least.
 CLEAR = 4.0
 FACTORS = 4
-PASSES = 150
+PASSES = 300
 RATE = 0.05
-DECAY_WEIGHTS, DECAY_FACTORS = 2e-4, 1e-3
+DECAY_WEIGHTS, DECAY_FACTORS = 2e-5, 1e-4
 THRESHOLD = 0.7
 
 
