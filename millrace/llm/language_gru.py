@@ -245,8 +245,8 @@ def languages(
 ) -> DataFrame:
     """``id, held_out, lang_pred, score`` for each row.
 
-    Nothing is learned from held-out ids, nor from rows without an id, text or language;
-    ids and languages are no input of a prediction.
+    Nothing is learned from held-out ids, nor from rows without an id or language, and a
+    null text teaches nothing; ids and languages are no input of a prediction.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -255,15 +255,13 @@ def languages(
         F.col(text).cast("string").alias("text"),
         F.col(lang).cast("string").alias("lang"),
     )
-    known = (
-        rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", 4, 2))
-        .filter("text IS NOT NULL")
-        .groupBy("id")
-        .agg(F.min("lang").alias("lang"))
-        .orderBy(F.xxhash64("id"), "id")
+    known = (  # each task sends its smallest hashes; no text is read
+        rows.select("id", "lang")
+        .filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", 4, 2))
+        .orderBy(F.xxhash64("id"), "id", "lang")
         .limit(MOST_ROWS)
     )
-    known = stored(known)
+    known = stored(known.groupBy("id").agg(F.min("lang").alias("lang")))
     sample = by_keys(rows.select("id", "text"), known.select("id"), "id", "left_semi").mapInArrow(
         _samples, "id long, window binary"
     )
