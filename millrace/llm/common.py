@@ -18,10 +18,12 @@ BROADCAST_KEYS = 500_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep the rows that Arrow hands to Python at once few, where texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Keep what Arrow hands to Python at once small, in rows and in bytes of text."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, "1000")
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(16 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
