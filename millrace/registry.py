@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from millrace.plans import nation_revenue as nation_revenue_plan
 from millrace.session import configure
-from millrace.sources import read_table
+from millrace.sources import read_tables
 
 
 def nation_revenue(spark: SparkSession, directory: str) -> DataFrame:
     """Revenue per nation of ASIA in 1996."""
     configure(spark)
-    tables = {
-        name: read_table(spark, directory, name)
-        for name in ("lineitem", "orders", "customer", "nation", "region")
-    }
+    tables = read_tables(
+        spark, directory, ("lineitem", "orders", "customer", "nation", "region")
+    )
     exact = nation_revenue_plan(
         **tables, region_name="ASIA", start=date(1996, 1, 1), end=date(1997, 1, 1)
     )

@@ -8,6 +8,9 @@ per table; other files of a folder are not opened for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -47,3 +50,13 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
                 f"declared {field.dataType.simpleString()}"
             )
     return declared
+
+
+def read_tables(
+    spark: SparkSession, directory: str, names: Iterable[str]
+) -> dict[str, DataFrame]:
+    """Several tables by name; their columns are looked at side by side."""
+    names = list(names)
+    with ThreadPoolExecutor(max(1, len(names))) as pool:
+        frames = pool.map(lambda name: read_table(spark, directory, name), names)
+        return dict(zip(names, frames, strict=True))
