@@ -235,14 +235,7 @@ def _join_blocks(percent: int):
             sets = [np.sort(s) for s in sets]
             one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
             links = np.zeros(len(keys), np.int64)
-            parent = np.arange(len(keys))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
+            label = keys.copy()  # the smallest class that each is known to reach
             if len(one) and len(two):
                 for s, found in tree_join(
                     [sets[x] for x in one], sizes[one], [sets[x] for x in two], sizes[two], percent
@@ -252,15 +245,11 @@ def _join_blocks(percent: int):
                     links[a] += copies[other].sum()
                     if i != j:
                         links[other] += copies[a]
-                    for b in other:
-                        x, y = root(a), root(b)
-                        if x != y:
-                            if keys[x] > keys[y]:
-                                x, y = y, x
-                            parent[y] = x
-            roots = np.array([keys[root(x)] for x in range(len(keys))])
+                    met = np.unique(label[np.append(other, a)])
+                    if len(met) > 1:
+                        label[np.isin(label, met)] = met[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(links), pa.array(roots)], ["key", "links", "root"]
+                [pa.array(keys), pa.array(links), pa.array(label)], ["key", "links", "root"]
             )
 
     return run
