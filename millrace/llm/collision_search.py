@@ -64,7 +64,9 @@ class Block:
         self.order = np.argsort(values, axis=1, kind="stable")
         self.values = np.take_along_axis(values, self.order, axis=1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the places of its k best found, and their scores."""
         n = len(self.ids)
         scale = self.length / np.sqrt((queries**2).sum(axis=1))
@@ -87,11 +89,12 @@ class Block:
             others = n - int(done.sum())
             places, rough = np.zeros(0, np.int64), np.zeros(0, np.float32)
             for w, width in enumerate(widths):
-                if w:
-                    gained = [self.order[i, a:b] for i, (a, b) in enumerate(zip(lows[w, :, q], lows[w - 1, :, q], strict=True))]
-                    gained += [self.order[i, a:b] for i, (a, b) in enumerate(zip(highs[w - 1, :, q], highs[w, :, q], strict=True))]
-                else:
-                    gained = [self.order[i, a:b] for i, (a, b) in enumerate(zip(lows[0, :, q], highs[0, :, q], strict=True))]
+                sides = [(lows[w, :, q], lows[w - 1, :, q]), (highs[w - 1, :, q], highs[w, :, q])]
+                gained = [
+                    self.order[i, a:b]
+                    for side in (sides if w else [(lows[0, :, q], highs[0, :, q])])
+                    for i, (a, b) in enumerate(zip(*side, strict=True))
+                ]
                 counts += np.bincount(np.concatenate(gained), minlength=n)
                 new = np.flatnonzero((counts >= enough) & ~done)
                 if len(new):

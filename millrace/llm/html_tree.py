@@ -11,8 +11,8 @@ more is the page's text.
 Pages are parsed in tasks, each by itself; the messages of a batch of pages are passed
 together, level by level. The labelled pages are small, made up and kept here.
 
-Text outside all block elements is not content. A null or empty page has no text. Unclosed and stray tags, and very deep pages, do no
-harm.
+Text outside all block elements is not content. A null or empty page has no text.
+Unclosed and stray tags, and very deep pages, do no harm.
 """
 
 from __future__ import annotations

@@ -265,7 +265,8 @@ def languages(
     sample = by_keys(rows.select("id", "text"), known.select("id"), "id", "left_semi").mapInArrow(
         _samples, "id long, window binary"
     )
-    gathered = sample.join(known, "id").orderBy("id", "window").limit(2 * PIECES * MOST_ROWS).select("window", "lang").collect()
+    most = 2 * PIECES * MOST_ROWS
+    gathered = sample.join(known, "id").orderBy("id", "window").limit(most).select("window", "lang").collect()
     names = sorted({r.lang for r in gathered})
     out = [F.col("id").alias(id), held_out("id", 4, 2).alias("held_out")]
     if not names:

@@ -169,7 +169,11 @@ def _common(a: np.ndarray, b: np.ndarray, start: int) -> int:
 
 
 def tree_join(
-    sets: list[np.ndarray], sizes: np.ndarray, probes: list[np.ndarray], probe_sizes: np.ndarray, percent: int
+    sets: list[np.ndarray],
+    sizes: np.ndarray,
+    probes: list[np.ndarray],
+    probe_sizes: np.ndarray,
+    percent: int,
 ) -> Iterator[tuple[int, np.ndarray]]:
     """(i, which probes link with set i); sets and probes are sorted, sizes are whole."""
     where = np.concatenate([np.full(len(p), i, np.int64) for i, p in enumerate(probes)])
@@ -256,7 +260,13 @@ def _join_blocks(percent: int):
 
 
 def jaccard_components(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, block: int = BLOCK
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    percent: int = 75,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``id, n_shingles, component_id, n_links`` for each row of ``docs``.
 
@@ -377,7 +387,9 @@ def jaccard_components(
     )
 
 
-def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75
+) -> DataFrame:
     """The rows of ``docs`` without those that reach a row with a smaller id.
 
     Of rows with the same id in a component, all stay only if they are not copies:

@@ -107,11 +107,12 @@ def mixed(
         .filter("n_copies > 0")
     )
     copies = counted.select(
-        "doc", F.col("n_copies").cast("long"), F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy")
-    )
-    return copies.select(
-        "doc", "n_copies", F.col("copy").cast("long"), uniform(f"{seed}:order", key, F.col("copy")).alias("order")
+        "doc",
+        F.col("n_copies").cast("long"),
+        F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"),
     )
+    order = uniform(f"{seed}:order", key, F.col("copy")).alias("order")
+    return copies.select("doc", "n_copies", F.col("copy").cast("long"), order)
 
 
 def _piece() -> Column:
@@ -120,7 +121,8 @@ def _piece() -> Column:
 
 def shuffled(copies: DataFrame) -> DataFrame:
     """The rows dealt out and sorted by ``order``, so that files hold them mixed."""
-    return copies.withColumn("_piece", _piece()).repartition("_piece").sortWithinPartitions("_piece", "order").drop("_piece")
+    cut = copies.withColumn("_piece", _piece()).repartition("_piece")
+    return cut.sortWithinPartitions("_piece", "order").drop("_piece")
 
 
 def with_position(copies: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -241,7 +241,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: str | None = "n_chars", span: int = 50, head: int = 10
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    length: str | None = "n_chars",
+    span: int = 50,
+    head: int = 10,
 ) -> DataFrame:
     """``docs`` with later repeats cut out of the texts, and ``length`` counted anew.
 

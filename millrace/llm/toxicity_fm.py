@@ -1,10 +1,11 @@
 """Toxicity of texts by a factorization machine over hashed terms.
 
 A text is the set of its words, runs of letters, and of their beginnings of ``STEM``
-bytes, lower-cased (A-Z) and hashed to ``BUCKETS`` terms; terms whose share of toxic texts departs from that of all most clearly
-are the machine's features. The score is logistic in a constant, a weight per feature and
-the inner product of the factors of every two features that occur together, so that a
-pair can count for more, or less, than its parts.
+bytes, lower-cased (A-Z) and hashed to ``BUCKETS`` terms; terms whose share of toxic
+texts departs from that of all most clearly are the machine's features. The score is
+logistic in a constant, a weight per feature and the inner product of the factors of
+every two features that occur together, so that a pair can count for more, or less, than
+its parts.
 
 The machine is fitted on at most ``MOST_ROWS`` labelled rows, those with the smallest
 hashes of their ids, by full passes of Adam in numpy. Their terms are gathered in tasks.
@@ -100,7 +101,10 @@ def fit(terms: np.ndarray, first: np.ndarray, label: np.ndarray) -> Machine:
     row, column = row[use], feature[terms[use]]
     rng = np.random.default_rng(3)
     machine = Machine(
-        feature, float(np.log(rate / (1 - rate))), np.zeros(len(chosen)), 0.01 * rng.standard_normal((len(chosen), FACTORS))
+        feature,
+        float(np.log(rate / (1 - rate))),
+        np.zeros(len(chosen)),
+        0.01 * rng.standard_normal((len(chosen), FACTORS)),
     )
     state = [np.zeros((2, *np.shape(p))) for p in (machine.constant, machine.weights, machine.factors)]
     for step in range(1, PASSES + 1):
