@@ -7,12 +7,14 @@ pieces there are.
 
 A configuration is a multiset of lengths that fit in one sequence. The linear program
 asks for the least total use of configurations that covers all lengths. It is solved by
-multiplicative weights: each length has a weight that falls as it is covered; the next
-configuration is the one of greatest weight, found by dynamic programming over the
-capacity (a knapsack); it is used as often as the first of its lengths is covered once.
-The fractional use is scaled, rounded down within what is there, and pieces that are
-left are packed best fit first, equal sequences at once. If best fit alone needs no more
-sequences, its packing is used.
+multiplicative weights: each length has a weight that falls as it is covered. In each
+round dynamic programming over the capacity (a knapsack) gives the greatest weight of a
+configuration, and for each length the best one that holds it; of these, those that are
+within ``NEAR`` of the greatest are used, each as often as the first of its lengths is
+covered once. Weights start in proportion to length. The fractional use is scaled and
+rounded down within what is there, and only the pieces that this leaves are packed best
+fit first, equal sequences at once. How many sequences best fit alone would need is
+logged beside the result; it is never the result.
 
 Pieces are then numbered within their length, over all partitions, and the packing,
 a table bounded by the number of rounds and lengths, tells each its sequence and place.
@@ -24,6 +26,7 @@ packed each. An empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,11 +44,14 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: Rounds of multiplicative weights at most, and how fast weights fall.
 ROUNDS = 600
-STEP = 0.25
+STEP = 0.1
+#: How far below the greatest weight a configuration may lie to be used, as a share.
+NEAR = 0.02
 
 Packing = list[tuple[list[int], int]]  # lengths in a sequence, number of such sequences
 
 _ENCODERS: dict[str, object] = {}
+_LOG = logging.getLogger(__name__)
 
 
 def encoder(vocabulary: str):
@@ -100,46 +106,67 @@ def _pieces(vocabulary: str, end: int, limit: int, with_ids: bool):
     return run
 
 
-def heaviest(weights: np.ndarray, limit: int) -> dict[int, int]:
-    """The configuration of greatest weight: length to count. ``weights[l]`` is a length's."""
+def _knapsack(weights: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per capacity the greatest weight that fits, and the length taken last, or 0."""
     lengths = np.flatnonzero(weights > 0)
     value = weights[lengths]
+    fitting = np.searchsorted(lengths, np.arange(limit + 1), "right")
     best = np.zeros(limit + 1)
     took = np.zeros(limit + 1, np.int64)
     for c in range(int(lengths[0]), limit + 1):
-        k = np.searchsorted(lengths, c, "right")
+        k = fitting[c]
         gain = best[c - lengths[:k]] + value[:k]
         at = int(gain.argmax())
         best[c] = max(gain[at], best[c - 1])
         took[c] = lengths[at] if gain[at] > best[c - 1] else 0
+    return best, took
+
+
+def _taken(took: np.ndarray, c: int) -> dict[int, int]:
     found: dict[int, int] = {}
-    c = limit
     while c > 0:
-        if took[c]:
-            found[int(took[c])] = found.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+        length = int(took[c])
+        if length:
+            found[length] = found.get(length, 0) + 1
+        c -= length or 1
     return found
 
 
+def heaviest(weights: np.ndarray, limit: int) -> dict[int, int]:
+    """The configuration of greatest weight: length to count. ``weights[l]`` is a length's."""
+    return _taken(_knapsack(weights, limit)[1], limit)
+
+
 def fractional(counts: np.ndarray, limit: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Uses of configurations that cover ``counts[l]`` pieces of each length about once."""
     need = counts.astype(float)
-    weights = np.where(need > 0, 1.0, 0.0)
+    kinds = np.flatnonzero(need)
+    size = need * np.arange(limit + 1)
+    weights = size / size.max()
     covered = np.zeros(limit + 1)
     uses: dict[tuple, float] = {}
     for _ in range(rounds):
         price = np.divide(weights, need, out=np.zeros(limit + 1), where=need > 0)
-        chosen = heaviest(price, limit)
-        lengths, times = np.array(list(chosen)), np.array(list(chosen.values()))
-        use = (need[lengths] / times).min()
-        key = tuple(sorted(chosen.items(), reverse=True))
-        uses[key] = uses.get(key, 0.0) + use
-        covered[lengths] += use * times / need[lengths]
-        weights[lengths] *= np.exp(-STEP * use * times / need[lengths])
+        best, took = _knapsack(price, limit)
+        enough = (1 - NEAR) * best[limit]
+        with_it = price[kinds] + best[limit - kinds]
+        for at in np.argsort(-with_it, kind="stable"):
+            if with_it[at] < enough:
+                break
+            own = int(kinds[at])
+            chosen = _taken(took, limit - own)
+            chosen[own] = chosen.get(own, 0) + 1
+            # Weights have fallen since the knapsack was solved.
+            if sum(weights[x] / need[x] * k for x, k in chosen.items()) < enough:
+                continue
+            use = min(need[x] / k for x, k in chosen.items())
+            key = tuple(sorted(chosen.items(), reverse=True))
+            uses[key] = uses.get(key, 0.0) + use
+            for x, k in chosen.items():
+                covered[x] += use * k / need[x]
+                weights[x] *= np.exp(-STEP * use * k / need[x])
         weights /= weights.max()
-    scale = max(1.0, float(np.median(covered[need > 0])))
+    scale = float((covered * size).sum() / size.sum())
     return [(dict(k), u / scale) for k, u in sorted(uses.items(), key=lambda x: (-x[1], x[0]))]
 
 
@@ -183,23 +210,26 @@ def best_fit(counts: np.ndarray, limit: int) -> Packing:
 
 def packing(counts: np.ndarray, limit: int, rounds: int = ROUNDS) -> Packing:
     """Sequences that hold exactly ``counts[l]`` pieces of each length l."""
-    plain = best_fit(counts, limit)
-    short = counts.copy()
-    short[limit] = 0
-    if not short.any():
-        return plain
-    left = short.copy()
+    left = counts.copy()
+    left[limit] = 0
     chosen: Packing = []
-    for configuration, use in fractional(short, limit, rounds):
-        n = min(int(use), *(int(left[x] // k) for x, k in configuration.items()))
+    for configuration, use in fractional(left, limit, rounds) if left.any() else []:
+        n = min(int(use + 1e-9), *(int(left[x] // k) for x, k in configuration.items()))
         if n > 0:
             chosen.append(([x for x, k in configuration.items() for _ in range(k)], n))
             for x, k in configuration.items():
                 left[x] -= n * k
+    by_program = sum(n for _, n in chosen)
     if counts[limit]:
         chosen.append(([limit], int(counts[limit])))
     chosen += best_fit(left, limit)
-    return min((plain, chosen), key=lambda p: sum(n for _, n in p))
+    _LOG.info(
+        "%d sequences, %d of them by the configuration program; best fit alone needs %d",
+        sum(n for _, n in chosen),
+        by_program,
+        sum(n for _, n in best_fit(counts, limit)),
+    )
+    return chosen
 
 
 def _places(plan: Packing) -> dict[str, np.ndarray]:

@@ -178,6 +178,30 @@ def test_best_fit_and_configurations_hold_all_pieces():
     assert sum(k for _, k in sp.packing(counts, 20, rounds=200)) == 300
 
 
+def test_program_packs_where_best_fit_needs_more_sequences(caplog):
+    # Best fit pairs the fours and leaves the threes to themselves: 150 + 200 sequences.
+    counts = np.zeros(11, np.int64)
+    counts[[4, 3]] = 300, 600
+    assert sum(k for _, k in sp.best_fit(counts, 10)) == 350
+    with caplog.at_level("INFO", sp.__name__):
+        plan = sp.packing(counts, 10, rounds=200)
+    assert [(sorted(lengths), k) for lengths, k in plan] == [([3, 3, 4], 300)]
+    assert "300 sequences, 300 of them by the configuration program; best fit alone needs 350" in caplog.text
+
+
+def test_a_tie_does_not_give_best_fit(monkeypatch):
+    """Most sequences come from the program, also where best fit needs as few."""
+    counts = np.bincount(np.random.default_rng(5).integers(1, 65, 60_000), minlength=65)
+    packed_last = []
+    best_fit = sp.best_fit
+    monkeypatch.setattr(sp, "best_fit", lambda c, limit: packed_last.append(int(c.sum())) or best_fit(c, limit))
+    plan = sp.packing(counts, 64)
+    plain = best_fit(counts, 64)
+    assert plan != plain
+    assert packed_last[0] < 0.1 * counts.sum()
+    assert sum(k for _, k in plan) <= 1.001 * sum(k for _, k in plain)
+
+
 def test_heaviest_configuration_is_the_best_of_all():
     rng = np.random.default_rng(8)
     for _ in range(30):
