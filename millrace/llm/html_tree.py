@@ -11,6 +11,9 @@ more is the page's text.
 Pages are parsed in tasks, each by itself; the messages of a batch of pages are passed
 together, level by level. The labelled pages are small, made up and kept here.
 
+What stands in a script, style or other element of ``RAW`` is not read as tags: it ends at
+the next ``</name``, or with the page if there is none.
+
 Text outside all block elements is not content. A null or empty page has no text.
 Unclosed and stray tags, and very deep pages, do no harm.
 """
@@ -43,6 +46,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # The kinds of elements that HTML defines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title svg math iframe object textarea select datalist".split())
+#: Those in which HTML knows no tags or comments, only the end of the element.
+RAW = frozenset("script style noscript title iframe textarea".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])[^>]*>", re.ASCII | re.IGNORECASE) for name in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -93,23 +99,25 @@ def parse(source: str, labelled: bool = False) -> Page:
         page.pieces.append((node, " " + text if gap else text))
         gap = False
 
-    for m in TOKEN.finditer(source):
-        if hidden is not None:
-            if m[1] != "/" and m[4] != "/" or (m[2] or m[5] or "").lower() != hidden:
-                continue
-            hidden, at = None, m.end()
-            continue
-        if m.start() < at:
-            continue
-        if m.start() > at:
+    while m := TOKEN.search(source, at):
+        if hidden is None and m.start() > at:
             say(source[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         closing = (m[1] or m[4]) == "/"
+        if name in RAW:
+            if not closing and not m[0].endswith("/>"):
+                end = RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
+            continue
+        if hidden is not None:
+            if closing and name == hidden:
+                hidden = None
+            continue
         if name in HIDDEN:
-            if not closing and not source[m.start() : m.end()].endswith("/>"):
+            if not closing and not m[0].endswith("/>"):
                 hidden = name
             continue
         if name in INLINE:

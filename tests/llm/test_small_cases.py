@@ -291,6 +291,26 @@ def test_made_up_pages_of_another_seed():
     assert right >= 0.9 * len(pages)
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "<script>for(i=0;i<n;i++){}</script>",
+        "<script>x = \"<!--\"</script>",
+        "<SCRIPT type='a'>if(a<b){y=\"</p>\"}</Script >",
+        "<style>/* a<b <!-- */</style><title>a <b</title>",
+        "<script>x = '</scripts>' + a<b</script>",
+        "<template><script>i<n; s = '<!--'</script><p>no</p></template>",
+        "<svg><!-- </svg> --><text>no</text></svg>",
+    ],
+)
+def test_scripts_do_not_swallow_the_text(hidden):
+    model = trained()
+    start, end = "<html><body><article><h1>A title here</h1>", "<p>One two, three four.</p></article></body></html>"
+    assert texts(model, [start + hidden + end]) == ["A title here One two, three four."]
+    assert texts(model, [f"<html><head>{hidden}</head>" + start[6:] + end]) == ["A title here One two, three four."]
+    assert texts(model, [start + end + "<script>i<n"]) == ["A title here One two, three four."]
+
+
 def test_odd_pages(spark):
     article = "<article><h1>A title here</h1><p>One &amp; two,<br>three&nbsp;four.</p></article>"
     rows = [
