@@ -1,6 +1,6 @@
 """Nearest vectors by largest inner product, with collision-counting hashing.
 
-Vectors are dealt to blocks of bounded size by a hash of their id. In a block each of
+Vectors are dealt to blocks of bounded size by a hash of their id and numbers. In a block each of
 many random projections is one sorted array. A query opens a window around its own
 value in every array and counts, for each vector, in how many windows it lies. Windows
 are widened step by step, as if the arrays were hashed anew with wider buckets, and only
@@ -15,6 +15,9 @@ the best of all blocks are merged.
 
 Vectors that are null, empty, all zero or hold a null or non-finite value take no part;
 vectors meet only those of their own dimension. Rows with the query's id are its own.
+Rows that repeat an id and its vector count once. An id with several vectors has a row for
+each: as a neighbour it can be found once for each, and as a query it asks with each, and
+gets the k best of all pairs.
 An empty table, or one without queries, gives an empty table.
 """
 
@@ -147,12 +150,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def dealt_to(n: int, *by: Column | str) -> Column:
+    """One of ``n`` parts, by a hash."""
+    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+
+
 def nearest(
     table: DataFrame, queries: Column, *, id: str = "vec_id", vector: str = "embedding", k: int = 20
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` holds for, the
     k nearest found of all rows but its own; ties go to the smaller id."""
-    rows = stored(
+    each = (
         table.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(
             F.col(id).cast("long").alias("id"),
             F.col(vector).cast("array<double>").alias("vector"),
@@ -160,11 +168,12 @@ def nearest(
             F.coalesce(queries, F.lit(False)).alias("query"),
         )
     )
+    rows = stored(each.groupBy("id", "vector", "dim").agg(F.max("query").alias("query")))
     size = rows.agg(F.sum("dim"), F.sum(F.col("query").cast("int"))).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_NUMBERS))
     parts = max(1, -(-(size[1] or 0) // QUERIES))
-    dealt = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(parts)).cast("int")
+    dealt = dealt_to(blocks, "id", "vector")
+    part = dealt_to(parts, F.lit("part"), "id", "vector")
     index = rows.select(
         "dim", dealt.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
         F.lit(False).alias("asked"), "id", "vector",
@@ -179,7 +188,6 @@ def nearest(
         .repartition(*keys)
         .sortWithinPartitions(*keys)
         .mapInArrow(_search(k), "query_id long, vec_id long, score double")
-        .distinct()
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (

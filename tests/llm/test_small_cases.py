@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import collision_search
 from millrace.llm import sequence_packing as sp
 from millrace.llm.bin_sharding import best_fit_decreasing, least_capacity, sharded
 from millrace.llm.collision_search import nearest
@@ -126,6 +127,35 @@ def test_equal_vectors_are_ranked_by_id(spark):
     assert len({r.score for r in found}) == 1
 
 
+def test_repeated_rows_lose_no_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist(), 1, "x") for i in range(80)]
+    once = sorted(map(tuple, nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()))
+    assert len(once) == 4 * 20
+    table = vectors(spark, rows)
+    best = vectors(spark, [rows[next(v for q, rank, v, _ in once if q == 20 and rank == 1)]] * 30)
+    for repeated in (table.union(table), table.union(best)):
+        assert sorted(map(tuple, nearest(repeated, F.col("vec_id") % 20 == 0).collect())) == once
+
+
+def test_one_id_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(collision_search, "BLOCK_NUMBERS", 40)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), *((7, [2.0, float(i)]) for i in range(30)), *((i, [0.5, 3.0]) for i in range(50, 60))]
+    table = vectors(spark, [(i, v, 1, "x") for i, v in rows])
+    found = nearest(table, F.col("vec_id") == 1, k=200).collect()
+    expected = [(-(a @ np.array(v)), i) for a in np.eye(2) for i, v in rows if i != 1 and any(v)]
+    assert sorted((-r.score, r.vec_id) for r in found) == sorted(expected)
+    assert sorted(r["rank"] for r in found) == list(range(1, len(expected) + 1))
+    cut = nearest(table, F.col("vec_id") == 1, k=12).collect()
+    assert sorted((-r.score, r.vec_id) for r in cut) == sorted(expected)[:12]
+
+
+def test_an_id_of_many_rows_is_dealt_to_all_blocks(spark):
+    rows = spark.range(6000).select(F.lit(1).alias("id"), F.array(F.col("id").cast("double")).alias("vector"))
+    sizes = [r["count"] for r in rows.groupBy(collision_search.dealt_to(4, "id", "vector")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.2 * min(sizes)
+
+
 def plain_best_fit_decreasing(sizes, shards, capacity):
     rooms = [capacity] * shards
     for size in sorted(sizes, reverse=True):
