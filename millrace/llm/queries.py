@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
 from millrace.llm.collision_search import nearest
+from millrace.llm.fill_in_middle import fill_in_middle, restored
 from millrace.llm.html_tree import main_text
 from millrace.llm.language_gru import languages
+from millrace.llm.mask_search import ranked_search
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
@@ -143,6 +145,77 @@ def op10_main_text(spark: SparkSession, directory: str) -> DataFrame:
     return main_text(_read(spark, directory, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, directory: str) -> DataFrame:
+    """The fill-in-the-middle form of every document, as hashes of it and its text."""
+    found = fill_in_middle(_read(spark, directory, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+d AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS x,
+    CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS y, CAST('0x' || h[25:32] AS BIGINT) % 100 AS z
+  FROM u),
+p AS (
+  SELECT doc_id, text, n, z, array_to_string(units[1:least(x, y)], '') AS pre,
+    array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS mid,
+    array_to_string(units[greatest(x, y) + 1:], '') AS suf
+  FROM d),
+f AS (
+  SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN z < 50 THEN 'spm' ELSE 'psm' END
+    AS form
+  FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM f
+"""
+
+
+def op13_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The 10 documents of highest score for every item of the benchmark."""
+    return ranked_search(_read(spark, directory, "documents"), _read(spark, directory, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM t WHERE len(terms) > 0),
+f AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT row_number() OVER () AS r, doc_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+c AS (
+  SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), s WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_search": op1_collision_search,
     "op2_source_mixing": op2_source_mixing,
@@ -154,9 +227,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_main_text": op10_main_text,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op6_suffix_dedup": OP6_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 TESTDATA = "/root/testdata"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 
 #: Names that operators use for columns of their own.
 CLASHING = (
