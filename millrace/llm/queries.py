@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
+from millrace.llm.circulant_minhash import minhash_components
 from millrace.llm.collision_search import nearest
 from millrace.llm.fill_in_middle import fill_in_middle, restored
 from millrace.llm.html_tree import main_text
@@ -187,6 +188,11 @@ FROM f
 """
 
 
+def op12_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    """Components of documents that share 80 of 100 two-word shingles, the first kept."""
+    return minhash_components(_read(spark, directory, "documents"), k=2, percent=80)
+
+
 def op13_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
     """The 10 documents of highest score for every item of the benchmark."""
     return ranked_search(_read(spark, directory, "documents"), _read(spark, directory, "benchmark"), k=10)
@@ -228,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_main_text": op10_main_text,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash": op12_minhash,
     "op13_ranked_search": op13_ranked_search,
 }
 
