@@ -12,15 +12,22 @@ round dynamic programming over the capacity (a knapsack) gives the greatest weig
 configuration, and for each length the best one that holds it; of these, those that are
 within ``NEAR`` of the greatest are used, each as often as the first of its lengths is
 covered once. Weights start in proportion to length. The fractional use is scaled and
-rounded down within what is there, and only the pieces that this leaves are packed best
-fit first, equal sequences at once. How many sequences best fit alone would need is
-logged beside the result; it is never the result.
+rounded, the most used configurations first and within what is there: up, where the
+sequence is all but full and its use has a large remainder, else down. The program is then
+solved again for the pieces that this leaves, until rounding leaves hardly fewer. Only the
+last leftovers are packed best fit first, equal sequences at once. How many sequences best
+fit alone would need is logged beside the result; it is never the result.
 
 Pieces are then numbered within their length, over all partitions, and the packing,
 a table bounded by the number of rounds and lengths, tells each its sequence and place.
 
-A null text is empty, and gives one piece, the end mark. Rows that repeat an id are
-packed each. An empty table gives an empty table.
+A text that holds a special token of the vocabulary (``<|endoftext|>``) has its id there,
+as the vocabulary's own tokenizer gives it, and the texts on either side are tokens of
+their own.
+
+A null text is empty, and gives one piece, the end mark. A very long text is tokenised whole
+in one task, and only its pieces go on. Rows that repeat an id are packed each; so are
+rows without one. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import base64
 import logging
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,12 +49,18 @@ from millrace.llm.common import add_rank, prepare, stored
 LIMIT = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: What the vocabulary has beside its ranks.
+SPECIAL = {"<|endoftext|>": 50256}
 
 #: Rounds of multiplicative weights at most, and how fast weights fall.
 ROUNDS = 600
 STEP = 0.1
 #: How far below the greatest weight a configuration may lie to be used, as a share.
 NEAR = 0.02
+#: Times that the program is solved, each on what rounding left; the part of a use from
+#: which it is rounded up, and the share of its sequence that may then be empty.
+SOLVES = 6
+UP, WASTE = 0.25, 0.002
 
 Packing = list[tuple[list[int], int]]  # lengths in a sequence, number of such sequences
 
@@ -63,11 +77,18 @@ def encoder(vocabulary: str):
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _ENCODERS[vocabulary] = tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL
         )
     return _ENCODERS[vocabulary]
 
 
+def token_ids(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+    own = encoder(vocabulary)
+    if any(mark in text for mark in SPECIAL):
+        return own.encode(text, allowed_special="all")
+    return own.encode_ordinary(text)
+
+
 def cuts(n: int, limit: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
     first = n % limit or limit
@@ -76,11 +97,10 @@ def cuts(n: int, limit: int) -> list[tuple[int, int]]:
 
 def _pieces(vocabulary: str, end: int, limit: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                tokens = np.array([*encode(text.as_py() or ""), end], "<u4")
+                tokens = np.array([*token_ids(text.as_py() or "", vocabulary), end], "<u4")
                 for k, (a, n) in enumerate(cuts(len(tokens), limit)):
                     part = tokens[a : a + n]
                     rows.append(i)
@@ -212,24 +232,31 @@ def packing(counts: np.ndarray, limit: int, rounds: int = ROUNDS) -> Packing:
     """Sequences that hold exactly ``counts[l]`` pieces of each length l."""
     left = counts.copy()
     left[limit] = 0
-    chosen: Packing = []
-    for configuration, use in fractional(left, limit, rounds) if left.any() else []:
-        n = min(int(use + 1e-9), *(int(left[x] // k) for x, k in configuration.items()))
-        if n > 0:
-            chosen.append(([x for x, k in configuration.items() for _ in range(k)], n))
-            for x, k in configuration.items():
-                left[x] -= n * k
-    by_program = sum(n for _, n in chosen)
+    chosen: Counter[tuple[int, ...]] = Counter()
+    for again in range(SOLVES):
+        before = left.sum()
+        for configuration, use in fractional(left, limit, max(rounds >> again, 50)) if before else []:
+            full = sum(x * k for x, k in configuration.items()) >= (1 - WASTE) * limit
+            n = int(use + 1 - UP if full else use + 1e-9)
+            n = min(n, *(int(left[x] // k) for x, k in configuration.items()))
+            if n > 0:  # the most used come first
+                chosen[tuple(x for x, k in configuration.items() for _ in range(k))] += n
+                for x, k in configuration.items():
+                    left[x] -= n * k
+        if left.sum() > 0.95 * before:
+            break
+    plan = [(list(lengths), n) for lengths, n in chosen.items()]
     if counts[limit]:
-        chosen.append(([limit], int(counts[limit])))
-    chosen += best_fit(left, limit)
+        plan.append(([limit], int(counts[limit])))
+    plan += best_fit(left, limit)
     _LOG.info(
-        "%d sequences, %d of them by the configuration program; best fit alone needs %d",
-        sum(n for _, n in chosen),
-        by_program,
+        "%d sequences, %d of them by the configuration program and %d full pieces; best fit alone needs %d",
+        sum(n for _, n in plan),
+        sum(chosen.values()),
+        counts[limit],
         sum(n for _, n in best_fit(counts, limit)),
     )
-    return chosen
+    return plan
 
 
 def _places(plan: Packing) -> dict[str, np.ndarray]:
@@ -285,13 +312,15 @@ def packed(
         ", ids array<long>" if with_ids else ""
     )
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(vocabulary, end, limit, with_ids), fields))
+    cut = rows.mapInArrow(_pieces(vocabulary, end, limit, with_ids), fields)
+    # Stored with a number for each row, so that equal rows can be dealt apart.
+    pieces = stored(cut.withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(limit + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # ``limit`` rows at most
         counts[row.length] = row["count"]
     places = spark.sparkContext.broadcast(_places(packing(counts, limit)))
-    ranked = add_rank(pieces, ["length"], ["id", "piece", "ids_crc32"], "rank")
-    names = [f.name for f in pieces.schema]
+    ranked = add_rank(pieces, ["length"], ["id", "piece", "ids_crc32", "row"], "rank")
+    names = cut.columns
     return (
         ranked.select(*names, "rank")
         .mapInArrow(_assign(places), fields + ", sequence_id long, offset long")

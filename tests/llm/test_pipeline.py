@@ -91,7 +91,6 @@ def test_packing_holds_every_copy(stages):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for r in stages[4]:
         n = len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1

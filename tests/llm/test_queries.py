@@ -162,7 +162,6 @@ def test_op8_places_every_token_once(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {d.doc_id: [*tokenizer.encode(d.text, add_special_tokens=False).ids, 2] for d in docs}
     rows = QUERIES["op8_packing"](spark, SMALL).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)

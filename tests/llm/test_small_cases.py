@@ -216,7 +216,7 @@ def test_program_packs_where_best_fit_needs_more_sequences(caplog):
     with caplog.at_level("INFO", sp.__name__):
         plan = sp.packing(counts, 10, rounds=200)
     assert [(sorted(lengths), k) for lengths, k in plan] == [([3, 3, 4], 300)]
-    assert "300 sequences, 300 of them by the configuration program; best fit alone needs 350" in caplog.text
+    assert "300 sequences, 300 of them by the configuration program and 0 full pieces; best fit alone needs 350" in caplog.text
 
 
 def test_a_tie_does_not_give_best_fit(monkeypatch):
@@ -232,6 +232,31 @@ def test_a_tie_does_not_give_best_fit(monkeypatch):
     assert sum(k for _, k in plan) <= 1.001 * sum(k for _, k in plain)
 
 
+def test_most_sequences_of_few_pieces_come_from_the_program(spark):
+    """Lengths of sf0.01, of which each occurs hardly more than once."""
+    ids = sp.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length").collect()
+    counts = np.bincount([r.length for r in ids], minlength=1025)
+    last = []
+    best_fit = sp.best_fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sp, "best_fit", lambda c, limit: last.append(best_fit(c, limit)) or last[-1])
+        plan = sp.packing(counts, 1024)
+    total, left, full = sum(k for _, k in plan), sum(k for _, k in last[0]), counts[1024]
+    assert total - full - left >= 0.9 * (total - full)
+    assert total <= sum(k for _, k in best_fit(counts, 1024))
+
+
+def test_ids_are_those_of_the_vocabularys_own_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext |>", " Größe 東京 \U0001f600  "]
+    for text in texts:
+        assert sp.token_ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sp.token_ids(texts[1]) == [64, 220, 50256, 275]
+
+
 def test_heaviest_configuration_is_the_best_of_all():
     rng = np.random.default_rng(8)
     for _ in range(30):
