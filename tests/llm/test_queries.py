@@ -154,7 +154,7 @@ def test_op7_catches_toxic_held_out_rows(spark):
     labels = spark.read.parquet(f"{TESTDATA}/sf0.1/labels.parquet").collect()
     held = [(x.toxic, rows[x.doc_id].predicted) for x in labels if rows[x.doc_id].held_out]
     assert sum(p for t, p in held if t == 0) <= 0.002 * sum(t == 0 for t, _ in held)
-    assert sum(p for t, p in held if t == 1) >= 0.65 * sum(t == 1 for t, _ in held)
+    assert sum(p for t, p in held if t == 1) >= 0.8 * sum(t == 1 for t, _ in held)
 
 
 def test_op8_places_every_token_once(spark, docs):

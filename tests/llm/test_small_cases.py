@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import collision_search
 from millrace.llm import sequence_packing as sp
+from millrace.llm import toxicity_fm as fm
 from millrace.llm.bin_sharding import best_fit_decreasing, least_capacity, sharded
 from millrace.llm.collision_search import nearest
 from millrace.llm.graph import components
@@ -282,6 +283,63 @@ def test_copies_have_the_distribution_of_poisson(spark, mean):
         assert abs(got[k] - expected) < 5 * math.sqrt(expected) + 3
 
 
+def balanced_pair(n, seed, others=200, vocabulary=4000):
+    """Texts of which those with both terms of a pair, or none, are toxic: either term
+    alone says nothing."""
+    rng = np.random.default_rng(seed)
+    texts, label = [], []
+    for _ in range(n):
+        a, b = rng.random(2) < 0.5
+        chosen = rng.choice(vocabulary, others, replace=False) + 10
+        texts.append(np.unique([*chosen, 1 if a else 3, 2 if b else 4]))
+        label.append(float(a == b))
+    return np.concatenate(texts), np.cumsum([0, *map(len, texts)]), np.array(label)
+
+
+def test_a_pair_of_balanced_terms_is_learned():
+    machine = fm.fit(*balanced_pair(4000, 0))
+    terms, first, label = balanced_pair(1000, 1)
+    scores = machine.scores(terms, first)
+    rank = np.argsort(np.argsort(scores))
+    toxic = label == 1
+    n = toxic.sum()
+    auc = (rank[toxic].sum() - n * (n - 1) / 2) / (n * (~toxic).sum())
+    assert auc > 0.95
+    single = fm.Machine(machine.constant, machine.weights, 0 * machine.factors, 0 * machine.mean)
+    assert np.ptp(single.logits(*balanced_pair(50, 2)[:2])) < 1.0  # it is in the pairs
+
+
+def test_pair_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    first = np.array([0, 5, 5, 12])
+    terms = np.concatenate([rng.choice(50, n, replace=False) for n in np.diff(first)])
+    factors, weights = np.zeros((fm.BUCKETS, 3)), np.zeros(fm.BUCKETS)
+    factors[:50], weights[:50] = rng.standard_normal((50, 3)), rng.standard_normal(50)
+    got = fm.Machine(0.5, weights, factors, np.zeros(3)).logits(terms, first)
+    for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+        own = terms[a:b]
+        pairs = sum(factors[x] @ factors[y] for k, x in enumerate(own) for y in own[k + 1 :])
+        assert got[i] == pytest.approx(0.5 + weights[own].sum() + np.clip(pairs, -10, 10))
+
+
+def test_factor_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(6)
+    row, mean, label = np.repeat([0, 1, 2], [4, 2, 6]), rng.standard_normal(3) / 9, np.array([1.0, 0.0, 1.0])
+    values = rng.standard_normal((12, 3)) / 3
+
+    def loss(x):
+        _, pairs = fm.pair_sums(x, row, 3, mean)
+        return -(np.log(1 / (1 + np.exp(-np.where(label == 1, pairs, -pairs))))).sum()
+
+    sums, pairs = fm.pair_sums(values, row, 3, mean)
+    slopes = fm.factor_slopes(values, row, sums, 1 / (1 + np.exp(-pairs)) - label)
+    for at in np.ndindex(values.shape):
+        x, y = values.copy(), values.copy()
+        x[at] += 1e-5
+        y[at] -= 1e-5
+        assert slopes[at] == pytest.approx((loss(x) - loss(y)) / 2e-5, abs=1e-6)
+
+
 def test_slopes_of_the_network_are_those_of_its_loss():
     rng = np.random.default_rng(0)
     network = Network(["a", "b", "c"])
