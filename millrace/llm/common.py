@@ -15,6 +15,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Keys of one number are broadcast only when they have been counted and are no more.
 BROADCAST_KEYS = 500_000
+#: Bits of the filter that is broadcast for more keys.
+FILTER_BITS = 1 << 28
 
 
 def prepare(spark: SparkSession) -> None:
@@ -55,14 +57,63 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _bit(key: Column) -> Column:
+    """The bit of a filter that a key has; a hash chooses it."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _filtered(held: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``held (_key, _row)`` with ``_may``: whether a filter holds the key.
+
+    The filter is a bit array of ``FILTER_BITS`` bits, 32 MB however many keys there are,
+    in pieces that Spark builds from the keys and broadcasts. A key that is there is always
+    found; of others some are found too, more the more keys there are.
+    """
+    bit = _bit(F.col(on))
+    pieces = (
+        keys.filter(F.col(on).isNotNull())
+        .groupBy(F.bitmap_bucket_number(bit).alias("_piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    )
+    own = _bit(F.col("_key"))
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.get(F.array(*[byte.bitwiseAND(1 << i) != 0 for i in range(8)]), (at % 8).cast("int"))
+    return (
+        held.join(F.broadcast(pieces), F.bitmap_bucket_number(own) == F.col("_piece"), "left")
+        .withColumn("_may", F.coalesce(found, F.lit(False)))
+        .drop("_piece", "_bits")
+    )
+
+
+def _held(df: DataFrame, on: str) -> DataFrame:
+    """``_key, _row``: rows carried whole, so that no column can clash."""
+    return df.select(F.col(on).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
 def by_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """``df`` semi or anti joined with stored ``keys`` of one number.
+    """``df`` semi or anti joined with stored, distinct ``keys`` of one number.
 
     Few keys, as counted, are sent to all tasks, so that the rows of ``df``, with their
-    texts, need not be shuffled; more are joined by a shuffle.
+    texts, need not be shuffled. Of more, a filter of bounded size is sent, and only the
+    rows that it finds are joined with the keys themselves, by a shuffle.
     """
-    few = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, on, how)
+    if keys.count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), on, how)
+    rows = _filtered(_held(df, on), keys, on)
+    found = rows.filter("_may").join(keys.select(F.col(on).alias("_key")), "_key", how).select("_row.*")
+    return found if how == "left_semi" else rows.filter("NOT _may").select("_row.*").unionByName(found)
+
+
+def marked(df: DataFrame, keys: DataFrame, on: str, mark: str) -> DataFrame:
+    """``df`` with ``mark``: whether its key is one of ``keys``, joined as by ``by_keys``."""
+    if keys.count() <= BROADCAST_KEYS:
+        here = F.broadcast(keys.withColumn(mark, F.lit(True)))
+        return df.join(here, on, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    rows = _filtered(_held(df, on), keys, on)
+    there = keys.select(F.col(on).alias("_key"), F.lit(True).alias("_mark"))
+    found = rows.filter("_may").join(there, "_key", "left").select("_row.*", F.coalesce("_mark", F.lit(False)).alias(mark))
+    return rows.filter("NOT _may").select("_row.*", F.lit(False).alias(mark)).unionByName(found)
 
 
 def words_of(text: Column) -> Column:

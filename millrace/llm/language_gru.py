@@ -7,11 +7,16 @@ the text's: its largest is the prediction, and the score. Gates and states use
 x / (1 + |x|), which rises as the usual functions do at a fraction of their cost.
 
 The network is trained in numpy, by backpropagation through time, on ``PIECES`` windows
-of each of ``MOST_ROWS`` labelled rows at most, those with the smallest hashes of their
-ids. All texts are then labelled whole, in tasks, in batches of windows.
-
-A text that is null or has no letter is ``und`` with score 0. Without labelled rows all
-are ``und``.
+of each of some ``MOST_ROWS`` labelled rows: of each language, as many as its part of that
+number, those with the smallest hashes of their ids, and ``FEWEST`` at least, so that a
+language that is rare in the table is still learned. The windows lie at places that a hash
+of the id chooses, anywhere in the text. Languages are trained on equally often. All texts are then
+labelled whole, in tasks, in batches of windows.
+
+Results: a text that is null or has no letter is ``und`` with score 0. Without labelled
+rows all are ``und``. A very long text is labelled whole, window by window. Rows that repeat
+an id are predicted each; an id with several languages teaches the first in order, on one of
+its texts. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import textblocks as tb
 from millrace.llm.common import by_keys, prepare, stored
@@ -29,9 +35,11 @@ from millrace.llm.toxicity_fm import held_out
 
 WINDOW = 64
 STATES = 8
-#: Labelled rows that the network is trained on, at most, and windows of each.
+#: Labelled rows that the network is trained on, of all languages, those of one language at
+#: least, and windows of each row.
 MOST_ROWS = 4_000
-PIECES = 2
+FEWEST = 50
+PIECES = 3
 STEPS = 300
 BATCH = 128
 RATE = 0.02
@@ -173,9 +181,13 @@ def train(windows: np.ndarray, label: np.ndarray, languages: list[str]) -> Netwo
     """Adam on batches of ``windows`` [n, time] with the places of their languages."""
     network = Network(languages)
     rng = np.random.default_rng(11)
+    of = [np.flatnonzero(label == i) for i in range(len(languages))]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     for step in range(1, STEPS + 1):
-        pick = rng.integers(0, len(windows), BATCH)
+        # A language is drawn first, then a window of it.
+        pick = np.array([of[i][int(len(of[i]) * u)] for i, u in zip(
+            rng.integers(0, len(languages), BATCH), rng.random(BATCH), strict=True
+        )])
         _, g = network.gradients(np.ascontiguousarray(windows[pick].T), label[pick])
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, (m, v) in state.items():
@@ -223,14 +235,15 @@ def _predict(network):
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows spread evenly over each text."""
+    """Windows at hashed places of each text."""
     for batch in batches:
         data, at = tb.flat_bytes(batch.column(1))
+        ids = batch.column(0).to_numpy().astype(np.uint64)
         row, windows = [], []
         for i in range(batch.num_rows):
             own = data[at[i] : at[i + 1]]
-            for k in range(PIECES):
-                a = k * max(0, len(own) - WINDOW) // max(1, PIECES - 1)
+            draws = tb.mixed(ids[i : i + 1] * np.uint64(PIECES) + np.arange(PIECES, dtype=np.uint64))
+            for a in (draws % np.uint64(max(1, len(own) - WINDOW + 1))).astype(np.int64):
                 piece = np.zeros(WINDOW, np.uint8)
                 piece[: len(own[a : a + WINDOW])] = own[a : a + WINDOW]
                 row.append(i)
@@ -255,18 +268,20 @@ def languages(
         F.col(text).cast("string").alias("text"),
         F.col(lang).cast("string").alias("lang"),
     )
-    known = (  # each task sends its smallest hashes; no text is read
-        rows.select("id", "lang")
-        .filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", 4, 2))
-        .orderBy(F.xxhash64("id"), "id", "lang")
-        .limit(MOST_ROWS)
+    labelled = stored(  # ids and languages only; no text is read
+        rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id", 4, 2))
+        .groupBy("id")
+        .agg(F.min("lang").alias("lang"))
     )
-    known = stored(known.groupBy("id").agg(F.min("lang").alias("lang")))
-    sample = by_keys(rows.select("id", "text"), known.select("id"), "id", "left_semi").mapInArrow(
-        _samples, "id long, window binary"
+    quota = max(FEWEST, MOST_ROWS // max(1, labelled.select("lang").distinct().count()))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    known = stored(labelled.withColumn("nth", nth).filter(F.col("nth") <= quota).select("id", "lang"))
+    # One text of each id, so that an id that many rows repeat is still one.
+    texts = by_keys(rows.select("id", "text"), known.select("id"), "id", "left_semi").groupBy("id").agg(
+        F.min("text").alias("text")
     )
-    most = 2 * PIECES * MOST_ROWS
-    gathered = sample.join(known, "id").orderBy("id", "window").limit(most).select("window", "lang").collect()
+    sample = texts.mapInArrow(_samples, "id long, window binary")
+    gathered = sample.join(known, "id").orderBy("id", "window").select("window", "lang").collect()
     names = sorted({r.lang for r in gathered})
     out = [F.col("id").alias(id), held_out("id", 4, 2).alias("held_out")]
     if not names:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,7 +74,7 @@ def _digests(k: int):
                 key[i] = _key(own)
                 n[i] = len(ngram_set(own, k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key), pa.array(n)], ["id", "key", "n"]
+                [batch.column(0), batch.column(2), pa.array(key), pa.array(n)], ["id", "mark", "key", "n"]
             )
 
     return run
@@ -259,26 +259,19 @@ def _join_blocks(percent: int):
     return run
 
 
-def jaccard_components(
-    docs: DataFrame,
-    *,
-    id: str = "doc_id",
-    text: str = "text",
-    k: int = 5,
-    percent: int = 75,
-    block: int = BLOCK,
-) -> DataFrame:
-    """``id, n_shingles, component_id, n_links`` for each row of ``docs``.
+def _mark(id: str, text: str) -> Column:
+    """A number for a row's id and text."""
+    return F.xxhash64(F.col(id).cast("long"), F.col(text).cast("string"))
 
-    ``component_id`` is the smallest id that a row reaches over links, ``n_links`` the
-    number of other rows that it links with. Words are split at ASCII white space and
-    A-Z are lower-cased. An empty text links with nothing, not even its copies. An
-    empty table gives an empty table.
-    """
+
+def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, block: int) -> DataFrame:
+    """``id, mark, key, n, root, component, links`` for each row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    digests = stored(rows.mapInArrow(_digests(k), "id long, key long, n long"))
+    rows = docs.select(
+        F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), _mark(id, text).alias("mark")
+    )
+    digests = stored(rows.mapInArrow(_digests(k), "id long, mark long, key long, n long"))
     classes = (
         digests.filter("n > 0 AND id IS NOT NULL")
         .groupBy("key")
@@ -368,41 +361,72 @@ def jaccard_components(
     smallest = stored(
         whole.join(classes, "key").groupBy("root").agg(F.min("label").alias("component"))
     )
-    reached = whole.join(smallest, "root").select("key", "component")
+    reached = whole.join(smallest, "root").select("key", "root", "component")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = stored(
         classes.join(links, "key", "left")
         .join(reached, "key", "left")
-        .select("key", "label", "copies", "links", "component")
+        .select("key", "label", "copies", "links", F.coalesce("root", "key").alias("root"), "component")
     )
+    alone = (F.col("n") == 0) | F.col("id").isNull()
     return digests.join(known, "key", "left").select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
+        "id",
+        "mark",
+        "key",
+        "n",
+        F.when(~alone, F.col("root")).alias("root"),
         F.when(F.col("n") == 0, F.col("id"))
         .when(F.col("id").isNotNull(), F.coalesce("component", "label"))
-        .alias("component_id"),
-        F.when((F.col("n") == 0) | F.col("id").isNull(), F.lit(0).cast("long"))
+        .alias("component"),
+        F.when(alone, F.lit(0).cast("long"))
         .otherwise(F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1)
-        .alias("n_links"),
+        .alias("links"),
+    )
+
+
+def jaccard_components(
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    percent: int = 75,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``id, n_shingles, component_id, n_links`` for each row of ``docs``.
+
+    ``component_id`` is the smallest id that a row reaches over links, ``n_links`` the
+    number of other rows that it links with. Words are split at ASCII white space and
+    A-Z are lower-cased. An empty text links with nothing, not even its copies. An
+    empty table gives an empty table.
+    """
+    return _linked(docs, id, text, k, percent, block).select(
+        F.col("id").alias(id),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("links").alias("n_links"),
     )
 
 
 def one_of_each(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75
 ) -> DataFrame:
-    """The rows of ``docs`` without those that reach a row with a smaller id.
+    """One row of ``docs`` for each component: that with the smallest id.
 
-    Of rows with the same id in a component, all stay only if they are not copies:
-    repeated rows are cut to one. Rows without an id stay.
+    Where several rows of a component have that id, one of them stays, chosen by a hash of
+    its text. A row that repeats an id with another text, which links with nothing, stays, as
+    do rows without words or id; of those, identical ones stay as often as they are there.
     """
-    groups = jaccard_components(docs, id=id, text=text, k=k, percent=percent)
-    groups = stored(groups)
-    drop = stored(groups.filter(F.col(id) != F.col("component_id")).select(id).distinct())
-    once = by_keys(docs, drop, id, "left_anti")
-    copies = stored(
-        groups.filter(F.col(id) == F.col("component_id")).groupBy(id).count().filter("count > 1").select(id)
+    groups = stored(_linked(docs, id, text, k, percent, BLOCK).filter("root IS NOT NULL"))
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "mark"))["mark"].alias("first"))
+    drop = stored(
+        groups.join(stored(first), "root").filter(F.col("mark") != F.col("first")).select("mark").distinct()
     )
+    # Rows are carried whole, so that their columns cannot clash with the mark.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _mark(id, text).alias("mark"))
+    once = by_keys(held, drop, "mark", "left_anti")
+    copies = stored(groups.groupBy("mark").count().filter("count > 1").select("mark"))
     if copies.isEmpty():
-        return once
-    several = by_keys(once, copies, id, "left_semi").dropDuplicates([id, text])
-    return by_keys(once, copies, id, "left_anti").unionByName(several)
+        return once.select("doc.*")
+    several = by_keys(once, copies, "mark", "left_semi").dropDuplicates(["mark"])
+    return by_keys(once, copies, "mark", "left_anti").unionByName(several.select(*once.columns)).select("doc.*")

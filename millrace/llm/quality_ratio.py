@@ -10,8 +10,13 @@ Both counts are sums over all rows, and have as many rows as there are hash buck
 table of ratios, of that fixed size, is all that reaches the driver. Everything is a
 DataFrame expression.
 
-A null text has no words. An empty table gives an empty table; without trusted texts
-all ratios are those of the prior, so no text is refused by its score.
+Only shares count: the prior is a share of the trusted texts' n-grams (``PRIOR``), spread as
+in all texts, so a table that is repeated any number of times gives the same verdicts.
+
+Results: a null or empty text has no words, fails the rules and is not kept. A very long text
+is judged whole. Rows that repeat an id are judged and counted each. An empty table gives
+an empty table; without trusted texts all ratios are one, so no text is refused by its
+score.
 """
 
 from __future__ import annotations
@@ -22,16 +27,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_KEYS, SPACES, let, stored
+from millrace.llm.common import SPACES, let, marked, stored
 
-#: Hash buckets of the n-grams, and occurrences that each is given before counting.
+#: Hash buckets of the n-grams.
 BUCKETS = 1 << 14
-PRIOR = 1.0
-#: N-grams, spread as in all texts, that the trusted texts are given before counting;
-#: few trusted texts then say little.
-SHRINK = 200_000
+#: N-grams that the trusted texts are given, spread as in all texts, as a share of their own.
+PRIOR = 0.1
 #: The least mean log ratio of a text that is kept.
-THRESHOLD = -0.05
+THRESHOLD = -0.08
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -106,28 +109,29 @@ def _ngrams(word: Column) -> Column:
 def ratios(docs: DataFrame, trusted: DataFrame, *, id: str = "doc_id", text: str = "text") -> list[float]:
     """Per bucket the log of its probability in trusted texts over that in all texts."""
     keys = stored(trusted.select(F.col(id).cast("long").alias("id")).filter("id IS NOT NULL").distinct())
-    marked = keys.withColumn("good", F.lit(1))
-    if keys.count() <= BROADCAST_KEYS:
-        marked = F.broadcast(marked)
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     counts = (
-        docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        .join(marked, "id", "left")
+        marked(rows, keys, "id", "good")
         .select("good", words(F.col("text")).alias("word"))
         .select("good", F.explode(_ngrams(F.col("word"))).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("good").alias("good"))
+        .agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
         .collect()  # BUCKETS rows at most
     )
-    raw, good = [PRIOR] * BUCKETS, [PRIOR] * BUCKETS
+    raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
-        raw[row.bucket] += row.raw
-        good[row.bucket] += row.good
-    if sum(good) == PRIOR * BUCKETS:
-        return [0.0] * BUCKETS
-    all_raw = math.fsum(raw)
-    good = [g + SHRINK * r / all_raw for r, g in zip(raw, good, strict=True)]
-    all_good = math.fsum(good)
-    return [math.log(g / all_good) - math.log(r / all_raw) for r, g in zip(raw, good, strict=True)]
+        raw[row.bucket] = row.raw
+        good[row.bucket] = row.good
+    return log_ratios(raw, good)
+
+
+def log_ratios(raw: list[int], good: list[int]) -> list[float]:
+    """Of smoothed shares in ``good`` to shares in ``raw``; 0 where there is nothing."""
+    all_raw, all_good = sum(raw), sum(good)
+    if not all_good:
+        return [0.0] * len(raw)
+    share = [(r / all_raw, (g / all_good + PRIOR * r / all_raw) / (1 + PRIOR)) for r, g in zip(raw, good, strict=True)]
+    return [math.log(g / r) if r else 0.0 for r, g in share]
 
 
 def quality_rules(

@@ -116,3 +116,32 @@ def test_nothing_to_learn_from(spark, documents):
     assert {r.lang_pred for r in languages(docs).collect()} == {"und"}
     none = toxicity(docs, labels(spark, [(None, None, None)])).collect()
     assert {r.predicted for r in none} == {0} and max(r.score for r in none) < 1e-6
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark, documents):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    kept = one_of_each(documents([(1, a), (2, a), (2, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b)]
+    # Of one id's near copies one stays; unlike texts of one id are components of their own.
+    kept = one_of_each(documents([(2, a), (2, a + " more"), (2, b), (3, b), (2, b)])).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {2} and {r.text[0] for r in kept} == {"a", "b"}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 28])
+def test_keys_beyond_a_broadcast_give_the_same_rows(spark, documents, monkeypatch, bits):
+    from millrace.llm import common
+
+    docs = documents([(i % 300 if i % 7 else None, f"text {i}") for i in range(500)])
+    keys = common.stored(spark.createDataFrame([(i,) for i in range(0, 300, 3)] + [(None,)], "doc_id long"))
+
+    def all_rows():
+        semi, anti = (common.by_keys(docs, keys, "doc_id", how) for how in ("left_semi", "left_anti"))
+        here = common.marked(docs, keys, "doc_id", "here")
+        assert semi.columns and set(semi.columns) == set(docs.columns)
+        return [sorted(tuple(r) for r in x.select("text", *extra).collect()) for x, *extra in ((semi,), (anti,), (here, "here"))]
+
+    few = all_rows()
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    assert all_rows() == few
+    assert len(few[0]) + len(few[1]) == len(few[2]) == 500

@@ -441,3 +441,71 @@ def test_odd_pages(spark):
     one = "A title here One & two, three four."
     assert text[6] == one and text[None] == one and text[9] == " ".join([one] * 400)
     assert main_text(pages.filter("false")).collect() == []
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark, documents):
+    from millrace.llm.quality_ratio import quality_rules
+
+    rng = random.Random(11)
+    kinds = {0: [f"good{i}" for i in range(300)], 1: [f"bad{i}" for i in range(300)]}
+    rows = [
+        (i, " ".join(rng.choice(kinds[i % 2] if rng.random() < i % 10 / 10 else kinds[0] + kinds[1]) for _ in range(80)))
+        for i in range(120)
+    ]
+    docs, trusted = documents(rows), spark.range(0, 60, 2).select(F.col("id").alias("doc_id"))
+    many = docs.crossJoin(spark.range(20).select(F.col("id").alias("again"))).drop("again")
+
+    def verdicts(d):
+        return {(r.i, r.kept, round(r.score, 9)) for r in quality_rules(d, trusted).select(F.col("doc.doc_id").alias("i"), "kept", "score").collect()}
+
+    once = verdicts(docs)
+    assert {k for _, k, _ in once} == {True, False}
+    assert verdicts(many) == once
+
+
+def test_scores_of_quality_are_those_of_the_counts(spark, documents):
+    from millrace.llm import quality_ratio as q
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{'x' * (i % 3)}{rng.randrange(40)}" for _ in range(60 + i))) for i in range(40)]
+    good = {i for i in range(0, 40, 4)}
+    grams = {i: [(w,) for w in t.split()] + list(zip(t.split(), t.split()[1:])) for i, t in rows}
+    distinct = sorted({g for x in grams.values() for g in x})
+    frame = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None) for g in distinct], "a string, b string")
+    one, two = q._bucket(F.col("a")), q._bucket(F.col("a"), F.col("b"))
+    bucket = {(r.a,) if r.b is None else (r.a, r.b): r.k for r in frame.select("a", "b", F.when(F.col("b").isNull(), one).otherwise(two).alias("k")).collect()}
+    raw, trusted = Counter(), Counter()
+    for i, x in grams.items():
+        raw.update(bucket[g] for g in x)
+        if i in good:
+            trusted.update(bucket[g] for g in x)
+    n, m = sum(raw.values()), sum(trusted.values())
+    log = {b: math.log((trusted[b] / m + q.PRIOR * c / n) / (1 + q.PRIOR) / (c / n)) for b, c in raw.items()}
+    found = q.quality_rules(documents(rows), spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    for r in found.select(F.col("doc.doc_id").alias("i"), "score", "base_failed", "kept").collect():
+        expected = sum(log[bucket[g]] for g in grams[r.i]) / len(grams[r.i])
+        assert r.score == pytest.approx(expected, abs=1e-9)
+        assert r.kept == (not r.base_failed and expected >= q.THRESHOLD)
+
+
+def test_texts_with_foreign_first_and_last_lines_keep_their_language(spark):
+    """Languages are learned from all of a text, not from its ends."""
+    from millrace.llm.language_gru import languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = "the author of this page and the readers that were in there with us for the other half of it\n"
+    wrapped = docs.withColumn("text", F.concat(F.lit(line), "text", F.lit("\n" + line)))
+    got = languages(wrapped).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").filter("held_out AND n_chars > 400").collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got) > 100
+
+
+def test_a_rare_language_is_learned(spark):
+    from millrace.llm.language_gru import languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("text", "lang").limit(200)
+    rows = docs.crossJoin(spark.range(50)).select("text", "lang")
+    rare = spark.createDataFrame([("жук и ёж идут в лес за грибами " * 20, "ru")] * 2, "text string, lang string")
+    table = rows.unionByName(rare).select(F.monotonically_increasing_id().alias("doc_id"), "text", "lang")
+    # Ids that are held out teach nothing, so the rare rows get ids that are not.
+    table = table.withColumn("doc_id", F.when(F.col("lang") == "ru", F.when(F.crc32(F.lit("-1")) % 4 == 2, -2).otherwise(-1)).otherwise(F.col("doc_id")))
+    assert languages(table).filter("lang_pred = 'ru'").count() >= 2
