@@ -2,8 +2,8 @@
 
 Rows with equal texts form a group that is not divided. Groups, largest first, each
 enter the shard with the least room that still holds them; a balanced order of the
-shards by room finds it. The capacity is raised in small steps from an equal share until all
-groups fit in the given number of shards; at twice the share or a group more, they do.
+shards by room finds it. The capacity is the least, within a ten-thousandth of an equal
+share, at which all groups fit in the given number of shards.
 
 Groups of one size are alike, so the packing only needs the number of groups of each
 size. Sizes are rounded up to ten leading bits for it, which leaves some 25,000 sizes at
@@ -12,12 +12,18 @@ packing places all groups of a size at once, as placing them one after another w
 Groups are then numbered within their size over all partitions, by a hash of the text,
 and the numbers tell their shards.
 
-A group larger than a shard's share of all bytes cannot go anywhere whole without
-breaking the law that shards be near equal. Only such a group is cut, into parts that
-are no larger than a sixteenth of a share, by a hash of id.
+Two things cannot go by this rule without breaking the law that shards be near equal:
 
-The size of a row is its text's UTF-8 bytes and 8; a null text has no bytes, and null
-texts form a group. An empty table gives an empty table.
+- A group of several rows that is larger than a shard's share of all bytes. Only such a
+  group is cut, row by row, into parts of a sixteenth of a share or one row.
+- A single row that is larger than a share. Its shard is settled, and the others share
+  what is left, as they do wherever whole groups are too coarse for shards that differ by
+  a hundredth at most.
+
+Results: the size of a row is its text's UTF-8 bytes and 8; a null text has no bytes, and
+null texts form a group. Rows that repeat an id or have none are rows like others, and are
+dealt apart where a group is cut. A very long text is one row. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -67,17 +73,49 @@ def best_fit_decreasing(sizes: list[tuple[int, int]], shards: int, capacity: int
 
 
 def least_capacity(sizes: list[tuple[int, int]], shards: int) -> Runs:
-    """The packing of least capacity, found in steps of a ten-thousandth of a share."""
-    if not sizes:
-        return []
+    """The packing of least capacity of all groups, given as (size, number) with the largest
+    size first."""
     share = -(-sum(size * n for size, n in sizes) // shards)
-    capacity = max(share, sizes[0][0])
+    least = max(share, sizes[0][0])
     step = max(1, share // 10000)
-    while (runs := best_fit_decreasing(sizes, shards, capacity)) is None:
-        capacity += step
+    # Double the distance until all fit, then halve it.
+    low, high = -1, 0  # steps that do not do, and that do
+    while (runs := best_fit_decreasing(sizes, shards, least + high * step)) is None:
+        low, high = high, max(1, 2 * high)
+    while high - low > 1:
+        middle = (low + high) // 2
+        found = best_fit_decreasing(sizes, shards, least + middle * step)
+        if found is None:
+            low = middle
+        else:
+            high, runs = middle, found
     return runs
 
 
+def near_equal(sizes: list[tuple[int, int]], shards: int) -> Runs:
+    """Shards of all groups. Where those of least capacity differ by more than a hundredth,
+    the fullest is settled and the rest are packed anew in the others; so a size beyond an
+    equal share has a shard of its own, and coarse sizes are spread."""
+    settled: Runs = []
+    left = dict(sizes)
+    while left:
+        now = sorted(left.items(), reverse=True)
+        runs = least_capacity(now, shards)
+        loads = [0] * shards
+        for size, n, shard in runs:
+            loads[shard] += size * n
+        full = loads.index(max(loads))
+        if shards == 1 or max(loads) - min(loads) <= max(loads) // 100:
+            return settled + runs
+        shards -= 1
+        for size, n, shard in runs:
+            if shard == full:
+                settled.append((size, n, shards))
+                left[size] -= n
+        left = {size: n for size, n in left.items() if n}
+    return settled
+
+
 def _assign(table):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, first, shard = table.value
@@ -108,6 +146,7 @@ def sharded(
         (F.coalesce(F.octet_length(body), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(body), F.lit("")).alias("_key"),
+        F.monotonically_increasing_id().alias("_row"),  # tells equal rows apart, once stored
     )
     rows = stored(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -118,7 +157,7 @@ def sharded(
         F.col("_key").alias("_large"), F.ceil(F.col("_bytes") * 16 / share).cast("int").alias("_parts")
     )
     parted = rows.join(F.broadcast(large), F.col("_key") == F.col("_large"), "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"), F.lit(0))
+        "_part", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"), F.lit(0))
     ).drop("_large", "_parts")
     units = stored(
         parted.groupBy("_key", "_part")
@@ -128,7 +167,7 @@ def sharded(
     sizes = sorted(
         ((r[0], r[1]) for r in units.groupBy("_rounded").count().collect()), reverse=True
     )
-    runs = least_capacity(sizes, shards)
+    runs = near_equal(sizes, shards) if sizes else []
     # Ranges of ranks within a size.
     next_rank: dict[int, int] = {}
     table = []
@@ -140,8 +179,9 @@ def sharded(
     placed = ranked.select("_key", "_part", "_rounded", "_rank").mapInPandas(
         _assign(spark.sparkContext.broadcast(tuple(columns))), "_key string, _part int, shard int"
     )
-    dealt = parted.join(placed, ["_key", "_part"]).select("id", "size", "text_crc32", "_key", "shard")
-    return add_rank(dealt, ["shard"], ["id", "text_crc32"], "slot").select(
+    # Stored, since ranks are taken from it twice.
+    dealt = stored(parted.join(placed, ["_key", "_part"]).select("id", "size", "text_crc32", "_row", "shard"))
+    return add_rank(dealt, ["shard"], ["id", "text_crc32", "_row"], "slot").select(
         F.col("id").alias(id),
         "size",
         "text_crc32",

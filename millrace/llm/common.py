@@ -127,8 +127,9 @@ def add_rank(
     """Gapless ``rank`` from 0 within each group, over any number of rows.
 
     The rows of a group are dealt to ``sub`` sub-groups by a hash of ``order``, which
-    have to tell rows apart well enough to spread them; each is numbered on its own,
-    and the counts of those before it are added. So no task holds a whole group.
+    has to tell rows apart, with a number for each row where rows can be equal; each is
+    numbered on its own, and the counts of those before it are added. So no task holds a
+    whole group. ``df`` is read twice, so it should be stored.
     """
     if sub is None:
         sub = max(16, 2 ** math.ceil(math.log2(max(1, df.count() / 100_000))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm import collision_search
 from millrace.llm import sequence_packing as sp
 from millrace.llm import toxicity_fm as fm
-from millrace.llm.bin_sharding import best_fit_decreasing, least_capacity, sharded
+from millrace.llm.bin_sharding import best_fit_decreasing, least_capacity, near_equal, sharded
 from millrace.llm.collision_search import nearest
 from millrace.llm.graph import components
 from millrace.llm.html_tree import labelled_pages, main_text, parse, texts, trained
@@ -193,6 +193,49 @@ def test_a_group_larger_than_a_share_is_cut(spark, documents):
     assert max(total.values()) < 1.1 * min(total.values())
 
 
+def test_copies_without_an_id_are_cut_too(spark, documents):
+    rows = [(None, "the same text" * 20)] * 600 + [(1000 + i, f"text {i}" * 15) for i in range(600)]
+    found = sharded(documents(rows), shards=6).collect()
+    total, slots = Counter(), {}
+    for r in found:
+        total[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(found) == 1200 and len(total) == 6
+    assert max(total.values()) < 1.1 * min(total.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("sizes", [[(50_000, 1), (1000, 1000)], [(200_000, 1), (100, 2000)], [(900, 2), (500, 3), (1, 408)]])
+def test_large_rows_leave_the_other_shards_near_equal(sizes):
+    loads = Counter()
+    for size, n, shard in near_equal(sizes, 24):
+        loads[shard] += size * n
+    assert sum(loads.values()) == sum(size * n for size, n in sizes) and set(loads) == set(range(24))
+    rest = sorted(loads.values())[:17]  # there are seven larger ones at most
+    assert rest[-1] - rest[0] <= (sizes[1][0] if len(sizes) == 2 else 1)
+
+
+def test_shards_of_the_query_are_those_of_plain_placement(spark, documents):
+    """Each group's shard, from the whole list of groups placed one by one."""
+    rng = random.Random(14)
+    rows = [(i, f"t{i % 90}" * rng.choice((3, 30, 31, 200))) for i in range(400)]
+    found = sharded(documents(rows), shards=5).collect()
+    text = dict(rows)
+    group, where = Counter(), {}
+    for r in found:
+        group[text[r.doc_id]] += r["size"]
+        assert where.setdefault(text[r.doc_id], r.shard) == r.shard
+    bits = lambda n: 1 << max(0, n.bit_length() - 10)
+    rounded = {t: -(-n // bits(n)) * bits(n) for t, n in group.items()}
+    capacity = max(-(-sum(rounded.values()) // 5), max(rounded.values()))
+    while (rooms := plain_best_fit_decreasing(list(rounded.values()), 5, capacity)) is None:
+        capacity += max(1, -(-sum(rounded.values()) // 5) // 10000)
+    loads = Counter()
+    for t, n in rounded.items():
+        loads[where[t]] += n
+    assert sorted(capacity - n for n in loads.values()) == rooms
+
+
 def test_best_fit_and_configurations_hold_all_pieces():
     rng = np.random.default_rng(3)
     for n, limit in ((0, 16), (1, 16), (40, 16), (3000, 64)):
