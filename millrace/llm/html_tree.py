@@ -12,10 +12,14 @@ Pages are parsed in tasks, each by itself; the messages of a batch of pages are
 together, level by level. The labelled pages are small, made up and kept here.
 
 What stands in a script, style or other element of ``RAW`` is not read as tags: it ends at
-the next ``</name``, or with the page if there is none.
-
-Text outside all block elements is not content. A null or empty page has no text.
-Unclosed and stray tags, and very deep pages, do no harm.
+the next ``</name``, or with the page if there is none. Text that stands outside all block
+elements, or in the body itself, has nodes of its own, one for each run between blocks, and
+is judged like any other.
+
+Results: a null or empty page has no text. Unclosed and stray tags and unclosed quotes are
+read in time that grows with the page's length, however long it is; elements nested more than ``DEEPEST``
+deep are siblings. Pages that repeat an id are extracted each. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,13 +37,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import prepare
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL,
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[\"'>]")
 NAMED = re.compile(r"\b(class|id|role|data-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -57,6 +56,10 @@ CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: Elements in which text that no block holds has a node of its own, as if in a block.
+LOOSE = frozenset("#page html body".split())
+#: Nodes of a path, at most; what is nested more deeply is taken for siblings, as browsers do.
+DEEPEST = 512
 #: An element that ends open ones of the same kind, up to an enclosing one.
 ENDS = {
     "li": ("li", ("ul", "ol", "menu")),
@@ -82,42 +85,106 @@ class Page:
     pieces: list[tuple[int, str]] = field(default_factory=list)
 
 
+class _Tags:
+    """The tags of a page, one after the other, in time that grows with its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")  # beyond it there are no tags
+        self.without: dict[str, int] = {}  # quotes and marks, and where none follows
+
+    def _find(self, what: str, at: int) -> int:
+        if at >= self.without.get(what, len(self.source) + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.without[what] = at
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Begin, end, name, whether it closes, attributes; no name for a comment."""
+        source = self.source
+        while 0 <= (begin := source.find("<", at)) and (begin < self.last or source.startswith("<!--", begin)):
+            if source.startswith("<!--", begin):
+                end = self._find("-->", begin + 4)
+                return begin, len(source) if end < 0 else end + 3, "", False, ""
+            if source[begin + 1] in "!?":
+                return begin, self._find(">", begin) + 1, "", False, ""
+            if not (m := TAG.match(source, begin)):
+                at = begin + 1
+                continue
+            first, end = m.end(), -1
+            here = first
+            while (stop := STOP.search(source, here)) is not None:
+                if stop[0] == ">":
+                    end = stop.end()
+                    break
+                close = self._find(stop[0], stop.end())
+                if close < 0:
+                    break
+                here = close + 1
+            if end < 0:  # a quote is not closed
+                end = self._find(">", first) + 1
+            return begin, end, m[1].lower(), source[begin + 1] == "/", source[first : end - 1]
+        return None
+
+
 def parse(source: str, labelled: bool = False) -> Page:
     page = Page()
     open_: list[tuple[str, int]] = [("#page", 0)]  # block elements that are open
+    counts: dict[str, int] = {}  # of their names
     links, gap, at, node = 0, False, 0, 0
     hidden: str | None = None
+    said_label: int | None = None
+    tags = _Tags(source)
+
+    def add(kind: tuple[str, str], above: int, label: int) -> int:
+        if page.depth[above] >= DEEPEST:
+            above = page.parent[above]
+        page.parent.append(above)
+        page.depth.append(page.depth[above] + 1)
+        page.kind.append(kind)
+        page.label.append(label)
+        page.text.append(0)
+        page.link.append(0)
+        return len(page.parent) - 1
 
     def say(text: str) -> None:
-        nonlocal gap
+        nonlocal gap, node
         if "&" in text:
             text = html.unescape(text)
         n = len(text.strip())
+        if n and page.kind[node][0] in LOOSE:
+            node = add(("#loose", ""), node, page.label[node] if said_label is None else said_label)
         page.text[node] += n
         if links:
             page.link[node] += n
         page.pieces.append((node, " " + text if gap else text))
         gap = False
 
-    while m := TOKEN.search(source, at):
-        if hidden is None and m.start() > at:
-            say(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def end_from(i: int) -> None:
+        for gone, _ in open_[i:]:
+            counts[gone] -= 1
+        del open_[i:]
+
+    while (tag := tags.next(at)) is not None:
+        begin, end, name, closing, attributes = tag
+        if hidden is None and begin > at:
+            say(source[at:begin])
+        at = end
         if not name:
             continue
-        closing = (m[1] or m[4]) == "/"
         if name in RAW:
-            if not closing and not m[0].endswith("/>"):
-                end = RAW_END[name].search(source, at)
-                at = end.end() if end else len(source)
+            if not closing and not attributes.endswith("/"):
+                found = RAW_END[name].search(source, at)
+                at = found.end() if found else len(source)
             continue
         if hidden is not None:
             if closing and name == hidden:
                 hidden = None
             continue
         if name in HIDDEN:
-            if not closing and not m[0].endswith("/>"):
+            if not closing and not attributes.endswith("/"):
                 hidden = name
             continue
         if name in INLINE:
@@ -125,25 +192,27 @@ def parse(source: str, labelled: bool = False) -> Page:
                 gap = True
             elif name == "a":
                 links = 0 if closing else 1
+            elif labelled and name == "span":
+                said_label = int("1" in attributes) if "data-label" in attributes else None
             continue
         gap = True
         if closing:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+            if counts.get(name):
+                i = len(open_) - 1
+                while open_[i][0] != name:
+                    i -= 1
+                end_from(i)
             node, links = open_[-1][1], 0
             continue
         if name in CLOSES_P:
-            names = ("p",)
-            stop = ()
+            names, stop = ("p",), ()
         else:
             names, stop = ENDS.get(name, ("", ()))
             names = names.split() if names else ()
-        if names:
+        if any(counts.get(x) for x in names):
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i][0] in names:
-                    del open_[i:]
+                    end_from(i)
                     if name in ("tr", "dd", "dt"):
                         continue
                     break
@@ -153,7 +222,6 @@ def parse(source: str, labelled: bool = False) -> Page:
             node = open_[-1][1]
             continue
         above = open_[-1][1]
-        attributes = m[3] or m[6] or ""
         said, label = "", page.label[above]
         if "=" in attributes:
             for key, value in NAMED.findall(attributes):
@@ -162,14 +230,9 @@ def parse(source: str, labelled: bool = False) -> Page:
                     said += " " + value
                 elif labelled:
                     label = int(value)
-        node = len(page.parent)
-        page.parent.append(above)
-        page.depth.append(page.depth[above] + 1)
-        page.kind.append((name, said))
-        page.label.append(label)
-        page.text.append(0)
-        page.link.append(0)
+        node = add((name, said), above, label)
         open_.append((name, node))
+        counts[name] = counts.get(name, 0) + 1
     if hidden is None and at < len(source):
         say(source[at:])
     return page
@@ -180,6 +243,12 @@ def _levels(depth: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1)))
 
 
+#: Classes of nodes that have tables of their own for a label given the parent's; the text
+#: and links of ``ITEMS`` are told by the list alone, of which they are parts.
+ITEMS = frozenset("li dt dd".split())
+OUTERMOST = 5  # blocks of the page or its body
+CLASSES = {"#loose": 2, "td": 3, "th": 3, "ul": 4, "ol": 4, "dl": 4} | {tag: 1 for tag in sorted(ITEMS)}
+
 TEXT_BOUNDS = np.array([1, 40, 200, 1000])
 LINK_BOUNDS = np.array([0.05, 0.3, 0.7])
 
@@ -191,9 +260,10 @@ class Forest:
     parent: np.ndarray
     levels: list[np.ndarray]
     kind: list[tuple[str, str]]
+    of: np.ndarray  # class
     label: np.ndarray
-    size: np.ndarray  # bin of the text in the subtree
-    linked: np.ndarray  # bin of the share of it that is links; 4 if there is no text
+    size: np.ndarray  # bin of the text in the subtree, or the last
+    linked: np.ndarray  # bin of the share of it that is links; the next if there is no text, or the last
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -208,13 +278,18 @@ def forest(pages: list[Page]) -> Forest:
         np.add.at(text, parent[level], text[level])
         np.add.at(link, parent[level], link[level])
     share = np.searchsorted(LINK_BOUNDS, link / np.maximum(text, 1), "right")
+    kind = [k for p in pages for k in p.kind]
+    of = np.array([CLASSES.get(tag, 0) for tag, _ in kind])
+    outer = np.array([tag in LOOSE for tag, _ in kind])
+    of[(of == 0) & (parent >= 0) & outer[parent]] = OUTERMOST
     return Forest(
         parent,
         levels,
-        [k for p in pages for k in p.kind],
+        kind,
+        of,
         np.concatenate([p.label for p in pages]),
-        np.searchsorted(TEXT_BOUNDS, text, "right"),
-        np.where(text > 0, share, len(LINK_BOUNDS) + 1),
+        np.where(np.isin(of, (1, 4)), len(TEXT_BOUNDS) + 1, np.searchsorted(TEXT_BOUNDS, text, "right")),
+        np.where(np.isin(of, (1, 4)), len(LINK_BOUNDS) + 2, np.where(text > 0, share, len(LINK_BOUNDS) + 1)),
     )
 
 
@@ -222,7 +297,9 @@ def _shows(kind: tuple[str, str]) -> list[tuple[str, str]]:
     """Its tag, told apart by whether it is named, and the words of class, id and role."""
     tag, said = kind
     named = {w.lower() for w in WORD.findall(said)}
-    return [("tag", f"{tag}." if named else tag), *(("word", w) for w in sorted(named))]
+    words = [("word", w) for w in sorted(named)]
+    # What a class of its own says stands in its table of labels.
+    return words if tag in CLASSES else [("tag", f"{tag}." if named else tag), *words]
 
 
 class Model:
@@ -238,10 +315,11 @@ class Model:
             for what in [*_shows(kind), ("size", f.size[i]), ("linked", f.linked[i])]:
                 shown.setdefault(what, [self.SMOOTH, self.SMOOTH])[f.label[i]] += 1
         self.odds = {w: float(np.log(c[1] / n[1]) - np.log(c[0] / n[0])) for w, c in shown.items()}
-        steps = np.full((2, 2), self.SMOOTH)
+        self.odds[("size", len(TEXT_BOUNDS) + 1)] = self.odds[("linked", len(LINK_BOUNDS) + 2)] = 0.0
+        steps = np.full((OUTERMOST + 1, 2, 2), self.SMOOTH)
         below = f.parent >= 0
-        np.add.at(steps, (f.label[f.parent[below]], f.label[below]), 1)
-        self.steps = np.log(steps / steps.sum(axis=1, keepdims=True))
+        np.add.at(steps, (f.of[below], f.label[f.parent[below]], f.label[below]), 1)
+        self.steps = np.log(steps / steps.sum(axis=2, keepdims=True))  # by class, parent's label, label
         self._kinds: dict[tuple[str, str], float] = {}
 
     def _kind(self, kind: tuple[str, str]) -> float:
@@ -255,21 +333,21 @@ class Model:
 
     def marginals(self, f: Forest) -> np.ndarray:
         """Each node's probability of being content, by sum-product."""
-        size = np.array([self.odds.get(("size", i), 0.0) for i in range(len(TEXT_BOUNDS) + 1)])
-        linked = np.array([self.odds.get(("linked", i), 0.0) for i in range(len(LINK_BOUNDS) + 2)])
+        size = np.array([self.odds.get(("size", i), 0.0) for i in range(len(TEXT_BOUNDS) + 2)])
+        linked = np.array([self.odds.get(("linked", i), 0.0) for i in range(len(LINK_BOUNDS) + 3)])
         own = np.zeros((len(f.parent), 2))
         own[:, 1] = np.array([self._kind(k) for k in f.kind]) + size[f.size] + linked[f.linked]
         own[f.levels[0], 1] = -np.inf  # the page as a whole is not content
         up = np.zeros_like(own)  # to the parent, by its label
         for level in reversed(f.levels[1:]):
-            up[level] = np.logaddexp(
-                self.steps[None, :, 0] + own[level, 0, None], self.steps[None, :, 1] + own[level, 1, None]
-            )
+            steps = self.steps[f.of[level]]
+            up[level] = np.logaddexp(steps[:, :, 0] + own[level, 0, None], steps[:, :, 1] + own[level, 1, None])
             np.add.at(own, f.parent[level], up[level])
         belief = own  # what the subtree says; what comes from above is added
         for level in f.levels[1:]:
             above = belief[f.parent[level]] - up[level]
-            down = np.logaddexp(above[:, 0, None] + self.steps[0], above[:, 1, None] + self.steps[1])
+            steps = self.steps[f.of[level]]
+            down = np.logaddexp(above[:, 0, None] + steps[:, 0], above[:, 1, None] + steps[:, 1])
             belief[level] += down - np.maximum(down[:, :1], down[:, 1:])
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
 
@@ -298,6 +376,8 @@ _CONTENT = (
     '<main id="main" data-label="1">{body}</main>',
     '<div class="wrapper"><section class="story-text" data-label="1">{body}</section></div>',
     '<div id="page"><div class="main content" data-label="1"><div>{body}</div></div></div>',
+    '<table><tr><td><a href="/">{w}</a> <a href="/n">{w}</a></td><td data-label="1">{body}</td></tr></table>',
+    '<table width="100%"><tbody><tr><td data-label="1">{body}</td><td><a href="/">{w}</a><br><a href="/n">{w}</a></td></tr></tbody></table>',
 )
 _TITLES = ("<h1>{t}</h1>", "<header><h1>{t}</h1></header>", "<h2>{t}</h2>", "")
 _BODIES = (
@@ -316,6 +396,12 @@ _BODIES = (
     "<figure><img src=x><figcaption>{t}</figcaption></figure>",
     "<section><h2>{t}</h2><p>{a}</p></section>",
 )
+#: Parts that few pages have.
+_RARE_BODIES = (
+    '<ul><li><a href="/l">{t}</a></li><li><a href="/k">{t}</a></li><li><a href="/j">{t}</a></li></ul>',
+    '<ol><li><a href="/l">{t}</a>, {t}</li><li><a href="/k">{t}</a>, {t}</li></ol>',
+    "<table><tr><th>{w}</th><th>{w}</th></tr><tr><td>{w}</td><td>{w}</td></tr><tr><td>{t}</td><td>{w}</td></tr></table>",
+)
 _INNER = (
     '<aside class="related" data-label="0"><h3>{t}</h3><ul><li><a href="/r">{t}</a></li></ul></aside>',
     '<div class="ad advert" data-label="0">{b}</div>',
@@ -323,6 +409,21 @@ _INNER = (
     '<section class="comments" id="comments" data-label="0"><h3>{w}</h3><div class="comment"><p>{b}</p></div></section>',
     '<form class="subscribe newsletter" data-label="0"><p>{t}</p><button>{w}</button></form>',
     '<div class="promo sponsored" data-label="0"><p>{b}</p></div>',
+    '<footer data-label="0">{t} <a href="/c">{w}</a></footer>',
+    '<footer data-label="0"><p>{t}</p></footer>',
+    '<nav data-label="0"><a href="/p">{w}</a> <a href="/q">{t}</a></nav>',
+)
+#: Runs of text in no block, as a page's main text, and beside it.
+_LOOSE_CONTENT = (
+    '<span data-label="1"><b>{t}</b><br>{a}</span>',
+    '<span data-label="1">{a}<br><br>{a}</span>',
+    '<span data-label="1">{t}<br>{b}<br>{a}</span>',
+    '<span data-label="1">{b}</span>',
+    '<span data-label="1">{a}<br>{a}<br>{a} <a href="/z">{t}</a> {b}</span>',
+)
+_LOOSE_BESIDE = (
+    '<a href="/">{w}</a> | <a href="/n">{w}</a> | <a href="/o">{w}</a>',
+    '<a href="/">{w}</a> <a href="/n">{w}</a>',
 )
 _BEFORE = (
     '<nav><ul><li><a href="/a">{w}</a></li><li><a href="/b">{w}</a></li><li><a href="/c">{w}</a></li></ul></nav>',
@@ -346,6 +447,10 @@ _AFTER = (
     '<div class="related recommended"><h3>{w}</h3><ul><li><a href="/y">{t}</a></li><li><a href="/z">{t}</a></li></ul></div>',
     '<div class="ads advertisement"><p>{b}</p></div>',
     '<div class="popup modal"><p>{b}</p></div>',
+    "<div>{t}</div>",
+    "<div><small>{t}</small></div>",
+    '<div>{t} <a href="/i">{w}</a> <a href="/j">{w}</a></div>',
+    "<hr><p><small>{w} {w}</small></p>",
 )
 
 
@@ -361,7 +466,9 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = [rng.choice(_TITLES), *(rng.choice(_BODIES) for _ in range(rng.choice((1, 1, 2, 3, 4, 6, 9))))]
+        body = [rng.choice(_TITLES), *(
+            rng.choice(_RARE_BODIES if rng.random() < 0.02 else _BODIES) for _ in range(rng.choice((1, 1, 2, 3, 4, 6, 9)))
+        )]
         for part in rng.sample(_INNER, rng.choice((0, 0, 1, 2))):
             body.insert(rng.randint(1, len(body)), part)
         parts = [
@@ -374,6 +481,13 @@ def labelled_pages(n: int, seed: int) -> list[str]:
             parts = [re.sub(r"^<(\w+)", r'<\1 data-label="1"', part) for part in body if "data-label" not in part]
             pages.append(filled("".join(parts)))
             continue
+        if rng.random() < 0.12:  # text in no block
+            loose = rng.choice(_LOOSE_CONTENT)
+            beside = [rng.sample(_BEFORE, 1), [], [], [rng.choice(_LOOSE_BESIDE) + "<hr>"]][rng.randrange(4)]
+            after = [rng.sample(_AFTER, 1), [], [], ["<hr>" + rng.choice(_LOOSE_BESIDE)]][rng.randrange(4)]
+            page = filled("".join([*beside, loose, *after]))
+            pages.append(page if rng.random() < 0.4 else f"<html><body>{page}</body></html>")
+            continue
         if rng.random() < 0.1:  # nothing but the text
             inside = f'<body data-label="1">{"".join(body)}'
         elif rng.random() < 0.4:
@@ -385,7 +499,7 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
 
 #: Labelled pages that the tables are counted on.
-TRAINING_PAGES = 400
+TRAINING_PAGES = 1000
 
 
 def trained(seed: int = 1) -> Model:

@@ -424,13 +424,13 @@ def test_marginals_are_those_of_all_labellings():
         sum(model.odds.get(w, 0.0) for w in [*_shows(k), ("size", f.size[i]), ("linked", f.linked[i])])
         for i, k in enumerate(f.kind)
     ]
-    assert len(TEXT_BOUNDS) >= f.size.max() and len(LINK_BOUNDS) + 1 >= f.linked.max()
+    assert len(TEXT_BOUNDS) + 1 >= f.size.max() and len(LINK_BOUNDS) + 2 >= f.linked.max()
     total, content = 0.0, np.zeros(len(odds))
     for labels in product((0, 1), repeat=len(odds)):
         if labels[0]:
             continue
         w = sum(o for o, x in zip(odds, labels, strict=True) if x)
-        w += sum(model.steps[labels[p], x] for p, x in zip(f.parent[1:], labels[1:], strict=True))
+        w += sum(model.steps[c, labels[p], x] for c, p, x in zip(f.of[1:], f.parent[1:], labels[1:], strict=True))
         total += math.exp(w)
         content += math.exp(w) * np.array(labels)
     assert np.allclose(model.marginals(f), content / total)
@@ -467,6 +467,40 @@ def test_scripts_do_not_swallow_the_text(hidden):
     assert texts(model, [start + end + "<script>i<n"]) == ["A title here One two, three four."]
 
 
+PROSE = "Some words of the text that the page is about, and a few more of them. " * 3
+
+
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("bare text and no tag at all", "bare text and no tag at all"),
+        ("<b>Title</b><br>text that follows it", "Title text that follows it"),
+        ("<body>text one<br><br>text two</body>", "text one text two"),
+        (f"<body><nav><a href=/>Home</a></nav>{PROSE}<br><br>{PROSE}<footer>the end</footer></body>", PROSE * 2),
+        (f'<a href="/">Home</a> | <a href="/n">News</a><hr>{PROSE}', PROSE),
+        ("<article><h1>Books</h1><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article>", "Books One Two"),
+        (f'<table><tr><td><a href="/">Home</a> <a href="/n">News</a></td><td><h1>T</h1><p>{PROSE}</p></td></tr></table>', "T " + PROSE),
+        (f"<article><h1>T</h1><p>{PROSE}</p><footer>Posted in <a href=/n>News</a></footer></article>", "T " + PROSE),
+        (f"<body><article><h1>T</h1><p>{PROSE}</p></article><div>Copyright 2020</div></body>", "T " + PROSE),
+    ],
+)
+def test_hand_made_pages(source, expected):
+    assert texts(trained(), [source]) == [" ".join(expected.split())]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["<a href=", '<a "', "<p class='", "<div>", "<!--", "<!x", '<a "x>', "<li><ul>", "<svg>", "<script>", "<", "</x", "<b a='>"],
+)
+def test_a_megabyte_of_bad_markup_takes_seconds(bad):
+    import time
+
+    model = trained()
+    begin = time.perf_counter()
+    texts(model, [bad * (1_000_000 // len(bad)), "<div>" * 100_000 + "</x>" * 100_000])
+    assert time.perf_counter() - begin < 30
+
+
 def test_odd_pages(spark):
     article = "<article><h1>A title here</h1><p>One &amp; two,<br>three&nbsp;four.</p></article>"
     rows = [
@@ -482,6 +516,7 @@ def test_odd_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert text[1] == text[2] == text[3] == ""
     one = "A title here One & two, three four."
+    assert text[4] == "no markup < at > all & more"
     assert text[6] == one and text[None] == one and text[9] == " ".join([one] * 400)
     assert main_text(pages.filter("false")).collect() == []
 
