@@ -5,30 +5,38 @@ A passage of ``span`` words that occurs twice is found whatever its place.
 1. Of every ``span`` words, the smallest hash of ``head`` words on end selects one
    position, by content alone, so the same words select the same position wherever they
    stand. Only the suffixes at these positions are kept, about one in twenty.
-2. Kept suffixes are put in order by their heads. Those whose head no other suffix has
-   cannot be in a repeated passage and go.
-3. A kept suffix stands for the run of passages that selected it. The whole stretch of
-   such a run, left and right of the position, is compared with its neighbours in order:
-   of equal stretches all but the first are repeats at once.
-4. The first of each stretch is extended left and right word by word: each passage of
-   its run is compared with all others of that order, and the matches that touch are
-   merged to maximal ones.
-
-So the number of rows follows the number of suffixes, not the size of groups: a passage
-that a third of all texts holds is counted by partial sums and joins that adaptive
-execution can split. A passage does not count as a repeat of one in the same text that
-it overlaps, so a word repeated over and over is not one.
-
-Nulls: a null text has no words; rows without an id take part in nothing. Rows that
-repeat an id and text count once.
+2. The kept suffixes are sorted: by numbers for their first ``head`` words, for twice and four
+   times as many, for the stretch below, and by their place. So suffixes with a common
+   beginning of such a length stand on end, and equal ones are told apart by place: Spark deals
+   ranges of this order to tasks, however many suffixes are equal.
+3. Each suffix is compared with its neighbours, across the edges of ranges too. In a sorted
+   array no other suffix has more in common with it than the neighbours, so this is how
+   far any match can reach to the right. A suffix that shares no head with a neighbour
+   is in no repeat and goes.
+4. A kept suffix stands for the run of passages that selected it. Of suffixes whose
+   whole stretch of passages, left and right of the position, equals that of a
+   neighbour, all but the first are repeats at once.
+5. The first of each stretch is extended: to the right as far as its neighbours allow, and
+   from there to the left, which leaves the passages of its run that a match can hold.
+   Neighbours alone do not tell which of these repeat, since a suffix further off, with less in
+   common to the right, may have more to the left. So their words are compared with
+   all such passages at once, exactly, and matches that touch are merged to maximal ones.
+
+Results: a null text has no words; rows without an id take part in nothing. Rows that
+repeat an id and text count once. A very long text is handled in steps of bounded memory. A
+passage does not count as a repeat of one in the same text that it overlaps, so a word
+repeated over and over is not one. An empty table gives an empty table. Words and
+stretches are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -86,25 +94,132 @@ def _suffixes(span: int, head: int):
                     continue
                 at, first, last = selected(own, span, head)
                 stretch = stretch_hashes(own, first, last + span)
-                parts.append((np.full(len(at), i), tb.run_hashes(own, head)[at], stretch, first, last))
+                two, four = (stretch_hashes(own, at, np.minimum(at + k * head, len(own))) for k in (2, 4))
+                parts.append((np.full(len(at), i), tb.run_hashes(own, head)[at], two, four, stretch, first, last, at))
             if not parts:
                 continue
-            row, heads, stretch, first, last = (np.concatenate(p) for p in zip(*parts, strict=True))
+            row, heads, two, four, stretch, first, last, at = (np.concatenate(p) for p in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row)),
                     batch.column(1).take(pa.array(row)),
                     pa.array(heads.view(np.int64)),
+                    pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array((four >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array(stretch.view(np.int64)),
                     pa.array(first.astype(np.int32)),
                     pa.array(last.astype(np.int32)),
+                    pa.array((at - first).astype(np.int32)),
                 ],
-                ["id", "crc", "head", "stretch", "first", "last"],
+                ["id", "crc", "head", "two", "four", "stretch", "first", "last", "left"],
             )
 
     return run
 
 
+#: The order of the array. Equal ``two`` and ``four`` may be chance: they only allow a match.
+ORDER = ["head", "two", "four", "stretch", "id", "crc", "first"]
+#: Suffixes in a range of the order.
+RANGE = 500_000
+
+
+def _levels(same: list[np.ndarray]) -> np.ndarray:
+    """0 to 3: how many of head, two and four agree, one after the other."""
+    total, so_far = np.zeros(len(same[0]), np.int8), np.ones(len(same[0]), bool)
+    for s in same:
+        so_far = so_far & s
+        total += so_far
+    return total
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of the array: its suffixes that share a head with a neighbour, with ``level``,
+    how much they share at most, and ``lo`` and ``hi``, the first and last place of their
+    stretch here. The range's own first and last suffix are kept in any case, as ``edge``."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    column = {c: table[c].to_numpy() for c in ("head", "two", "four", "stretch")}
+    n = len(table)
+    before = np.zeros(n, np.int8)  # what each shares with the one before
+    before[1:] = _levels([column[c][1:] == column[c][:-1] for c in ("head", "two", "four")])
+    level = np.maximum(before, np.append(before[1:], 0)).astype(np.int8)
+    new = np.ones(n, bool)
+    new[1:] = (before[1:] < 3) | (column["stretch"][1:] != column["stretch"][:-1])
+    run = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n) - 1
+    edge = np.zeros(n, bool)
+    edge[[0, -1]] = True
+    keep = np.flatnonzero((level > 0) | edge)
+    lo, hi = begin[run[keep]], end[run[keep]]
+    range_ = TaskContext.get().partitionId()
+    here = table.take(pa.array(keep)).combine_chunks()
+    made = {
+        "level": pa.array(level[keep].astype(np.int32)),
+        "edge": pa.array(edge[keep]),
+        "range": pa.array(np.full(len(keep), range_, np.int32)),
+        "place": pa.array(keep.astype(np.int32)),
+    }
+    for name, at in (("lo", lo), ("hi", hi)):
+        for c in ("id", "crc", "first"):
+            made[f"{name}_{c}"] = table[c].take(pa.array(at)).combine_chunks()
+    for c, values in made.items():
+        here = here.append_column(c, values)
+    yield from here.to_batches(max_chunksize=50_000)
+
+
+_SUFFIX = "id long, crc long, head long, two int, four int, stretch long, first int, last int, left int"
+_PLACED = _SUFFIX + ", level int, edge boolean, range int, place int" + "".join(
+    f", {x}_id long, {x}_crc long, {x}_first int" for x in ("lo", "hi")
+)
+
+
+def _array(suffixes: DataFrame) -> DataFrame:
+    """The sorted array: live suffixes with ``level``, ``lo`` and ``hi``; see ``_neighbours``."""
+    spark = suffixes.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // RANGE))
+    ranged = stored(
+        suffixes.repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_neighbours, _PLACED)
+    )
+    lo, hi = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("id", "crc", "first")]) for x in ("lo", "hi"))
+    ranged = ranged.withColumn("lo", lo).withColumn("hi", hi)
+    # Two rows of each range, in order: what they share over the edge, and the stretches
+    # that go on there.
+    order = Window.orderBy("range", "place")
+    keys = ("head", "two", "four")
+
+    def shared(there) -> Column:
+        same = [F.coalesce(F.col(c) == there(c).over(order), F.lit(False)) for c in keys]
+        return sum(
+            (F.when(reduce(Column.__and__, same[: k + 1]), 1).otherwise(0) for k in range(3)), F.lit(0)
+        )
+
+    edges = ranged.filter("edge")
+    across = stored(
+        edges.withColumn("over", F.greatest(shared(F.lag), shared(F.lead))).select(
+            F.col("range").alias("_range"), F.col("place").alias("_place"), "over"
+        )
+    )
+    runs = stored(
+        edges.groupBy(F.col("head").alias("_head"), F.col("stretch").alias("_stretch")).agg(
+            F.min("lo").alias("_lo"), F.max("hi").alias("_hi")
+        )
+    )
+    return (
+        ranged.join(F.broadcast(across), (F.col("range") == F.col("_range")) & (F.col("place") == F.col("_place")), "left")
+        .join(F.broadcast(runs), (F.col("head") == F.col("_head")) & (F.col("stretch") == F.col("_stretch")), "left")
+        .select(
+            *("id", "crc", "first", "last", "left"),
+            F.greatest("level", F.coalesce("over", F.lit(0))).alias("level"),
+            F.least("lo", F.coalesce("_lo", "lo")).alias("lo"),
+            F.greatest("hi", F.coalesce("_hi", "hi")).alias("hi"),
+        )
+        .filter("level > 0")
+    )
+
+
 def _passages(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,24 +277,23 @@ def repeated_spans(
     ).filter("id IS NOT NULL AND text IS NOT NULL")
     suffixes = stored(
         rows.mapInArrow(
-            _suffixes(span, head), "id long, crc long, head long, stretch long, first int, last int"
+            _suffixes(span, head), _SUFFIX
         )
     )
-    # Sums are stored before they are joined: Spark splits a hot key's rows only where
-    # both sides of a join come straight from a shuffle.
-    often = stored(suffixes.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"))
-    live = stored(suffixes.join(often, "head", "left_semi").select("id", "crc", "stretch", "first", "last"))
-
-    bounds = stored(live.groupBy("stretch").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi")))
     placed = stored(
-        live.join(bounds, "stretch")
+        _array(suffixes)
         .withColumn("again", _apart(span, "lo", "hi"))
         .withColumn("here", _place())
         .withColumn("later", _apart(span, "lo", "here"))
-        .select("id", "crc", "first", "last", "again", "later")
+        .select("id", "crc", "first", "last", "left", "level", "again", "later")
     )
+    # How many words from its position on a suffix can share with any other.
+    right = F.when(F.col("level") == 1, 2 * head - 1).when(F.col("level") == 2, 4 * head - 1).otherwise(span)
+    reach = F.least(F.col("last"), F.col("first") + F.col("left") + right - span)
     pool = stored(
         placed.filter("NOT later")
+        .withColumn("last", reach.cast("int"))
+        .filter("first <= last")
         .groupBy("id", "crc")
         .agg(F.collect_set(F.struct("first", "last", "again")).alias("runs"))
     )

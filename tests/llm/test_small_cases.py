@@ -587,3 +587,26 @@ def test_a_rare_language_is_learned(spark):
     # Ids that are held out teach nothing, so the rare rows get ids that are not.
     table = table.withColumn("doc_id", F.when(F.col("lang") == "ru", F.when(F.crc32(F.lit("-1")) % 4 == 2, -2).otherwise(-1)).otherwise(F.col("doc_id")))
     assert languages(table).filter("lang_pred = 'ru'").count() >= 2
+
+
+def test_the_suffix_array_knows_the_nearest_of_all(spark, with_conf):
+    """Level, first and last place of each suffix against all others, over many ranges."""
+    from millrace.llm import suffix_dedup as sd
+    from millrace.llm.common import stored
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):  # id, crc, head, two, four, stretch, first, last, left
+        head, two, four = rng.choice((1, 1, 1, 2, rng.randrange(99))), rng.randrange(3), rng.randrange(3)
+        rows.append((i // 4, 7, head, 10 * head + two, 100 * head + 10 * two + four, rng.randrange(2) if four else 9, i, i, 0))
+    with_conf(shuffle__partitions="37", adaptive__coalescePartitions__enabled="false")
+    got = {r["first"]: r for r in sd._array(stored(spark.createDataFrame(rows, sd._SUFFIX))).collect()}
+    for r in rows:
+        others = [x for x in rows if x is not r]
+        level = max(sum(r[2 : 3 + k] == x[2 : 3 + k] for k in range(3)) for x in others)
+        if not level:
+            assert r[6] not in got
+            continue
+        same = [(x[0], x[1], x[6]) for x in rows if x[2:6] == r[2:6]]
+        found = got[r[6]]
+        assert (found.level, tuple(found.lo), tuple(found.hi)) == (level, min(same), max(same))
