@@ -40,6 +40,8 @@ STATES = 8
 MOST_ROWS = 4_000
 FEWEST = 50
 PIECES = 3
+#: Languages whose table of sizes is broadcast, once counted.
+BROADCAST_LANGUAGES = 10_000
 STEPS = 300
 BATCH = 128
 RATE = 0.02
@@ -273,9 +275,17 @@ def languages(
         .groupBy("id")
         .agg(F.min("lang").alias("lang"))
     )
-    quota = max(FEWEST, MOST_ROWS // max(1, labelled.select("lang").distinct().count()))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    known = stored(labelled.withColumn("nth", nth).filter(F.col("nth") <= quota).select("id", "lang"))
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("size")))
+    n = sizes.count()
+    quota = max(FEWEST, MOST_ROWS // max(1, n))
+    # Rows that a hash of the id lets through, some four times as many as are wanted of each
+    # language; so the rows that are ranked do not grow with the table.
+    sizes = F.broadcast(sizes) if n <= BROADCAST_LANGUAGES else sizes
+    drawn = labelled.join(sizes, "lang").filter(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") * F.col("size") < float(4 * quota * (1 << 30))
+    )
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id"))
+    known = stored(drawn.withColumn("nth", nth).filter(F.col("nth") <= quota).select("id", "lang"))
     # One text of each id, so that an id that many rows repeat is still one.
     texts = by_keys(rows.select("id", "text"), known.select("id"), "id", "left_semi").groupBy("id").agg(
         F.min("text").alias("text")

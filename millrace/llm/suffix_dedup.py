@@ -13,9 +13,9 @@ A passage of ``span`` words that occurs twice is found whatever its place.
    array no other suffix has more in common with it than the neighbours, so this is how
    far any match can reach to the right. A suffix that shares no head with a neighbour
    is in no repeat and goes.
-4. A kept suffix stands for the run of passages that selected it. Of suffixes whose
-   whole stretch of passages, left and right of the position, equals that of a
-   neighbour, all but the first are repeats at once.
+4. A kept suffix stands for the run of passages that selected it. Of neighbours on end
+   whose whole stretch of passages, left and right of the position, is equal, all but the
+   first are repeats at once.
 5. The first of each stretch is extended: to the right as far as its neighbours allow, and
    from there to the left, which leaves the passages of its run that a match can hold.
    Neighbours alone do not tell which of these repeat, since a suffix further off, with less in
@@ -202,14 +202,14 @@ def _array(suffixes: DataFrame) -> DataFrame:
             F.col("range").alias("_range"), F.col("place").alias("_place"), "over"
         )
     )
+    equal = ORDER[:4]
     runs = stored(
-        edges.groupBy(F.col("head").alias("_head"), F.col("stretch").alias("_stretch")).agg(
-            F.min("lo").alias("_lo"), F.max("hi").alias("_hi")
-        )
+        edges.groupBy(*[F.col(c).alias(f"_{c}") for c in equal]).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
     )
+    same_run = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in equal])
     return (
         ranged.join(F.broadcast(across), (F.col("range") == F.col("_range")) & (F.col("place") == F.col("_place")), "left")
-        .join(F.broadcast(runs), (F.col("head") == F.col("_head")) & (F.col("stretch") == F.col("_stretch")), "left")
+        .join(F.broadcast(runs), same_run, "left")
         .select(
             *("id", "crc", "first", "last", "left"),
             F.greatest("level", F.coalesce("over", F.lit(0))).alias("level"),
