@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import textblocks as tb
-from millrace.llm.common import stored
+from millrace.llm.common import ship, stored
 
 #: Projections, and the part of them in which a candidate has to collide.
 PROJECTIONS = 64
@@ -160,6 +160,7 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` holds for, the
     k nearest found of all rows but its own; ties go to the smaller id."""
+    ship(table.sparkSession)
     each = (
         table.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(
             F.col(id).cast("long").alias("id"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,24 @@ BROADCAST_KEYS = 500_000
 FILTER_BITS = 1 << 28
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once a session's context, wherever they run."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_millrace_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")  # Spark copies it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._millrace_shipped = True
+
+
 def prepare(spark: SparkSession) -> None:
-    """Keep what Arrow hands to Python at once small, in rows and in bytes of text."""
+    """What operators with Python in tasks need: the package on the executors, and small
+    batches. Where the session leaves them at Spark's defaults, it sets
+    spark.sql.execution.arrow.maxRecordsPerBatch to 1000 and maxBytesPerBatch to 16 MB."""
+    ship(spark)
     rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
     if spark.conf.get(rows) == "10000":  # Spark's default
         spark.conf.set(rows, "1000")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bin_sharding import sharded
 from millrace.llm.circulant_minhash import minhash_components
 from millrace.llm.collision_search import nearest
+from millrace.llm.common import stored
 from millrace.llm.fill_in_middle import fill_in_middle, restored
 from millrace.llm.html_tree import main_text
 from millrace.llm.language_gru import languages
@@ -17,7 +18,7 @@ from millrace.llm.mask_search import ranked_search
 from millrace.llm.prefix_tree_join import jaccard_components
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
-from millrace.llm.source_mixing import mixed, source_sizes, tempered_weights, with_position
+from millrace.llm.source_mixing import mixed, pieces_for, source_sizes, tempered_weights, with_position
 from millrace.llm.suffix_dedup import repeated_spans
 from millrace.llm.toxicity_fm import toxicity
 
@@ -38,8 +39,9 @@ FLATTEN = 0.7
 def op2_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     """The copies of one epoch, mixed to flattened shares of the sources, in order."""
     docs = _read(spark, directory, "documents")
-    weights = tempered_weights(source_sizes(docs), FLATTEN)
-    return with_position(mixed(docs, weights)).select(
+    sizes = stored(source_sizes(docs))
+    weights = tempered_weights(sizes, FLATTEN)
+    return with_position(mixed(docs, weights), pieces=pieces_for(sizes)).select(
         F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "n_copies", "copy", "position"
     )
 

@@ -13,11 +13,14 @@ when it was counted to be small. Everything is a DataFrame expression.
 
 A null source is a source of its own. A null or empty text counts as one byte. Rows that
 repeat an id draw the same number of copies; so do rows without an id. A source without
-a positive weight is not repeated at all. An empty table gives an empty table.
+a positive weight is not repeated at all. A very long text is a row like others and is moved
+whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +32,10 @@ MOST_MEAN = 8.0
 MOST_COPIES = 50
 #: Sources whose table is broadcast, once counted.
 BROADCAST_SOURCES = 10_000
-#: Pieces of the shuffled order that are numbered side by side.
+#: Pieces of the shuffled order that are numbered or sorted side by side, at least, and the
+#: bytes of text from which there are more.
 PIECES = 4096
+PIECE_BYTES = 128 << 20
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -115,25 +120,32 @@ def mixed(
     return copies.select("doc", "n_copies", F.col("copy").cast("long"), order)
 
 
-def _piece() -> Column:
-    return F.floor(F.col("order") / F.lit(2**52 // PIECES)).cast("int")
+def pieces_for(sizes: DataFrame) -> int:
+    """How many pieces the texts of sources of these ``sizes`` are dealt to."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return max(PIECES, 1 << math.ceil(math.log2(max(1, total / PIECE_BYTES))))
+
+
+def _piece(pieces: int) -> Column:
+    """The piece of equal range that ``order`` lies in; ``pieces`` is a power of two."""
+    return F.floor(F.col("order") / F.lit(2**52 // pieces)).cast("int")
 
 
-def shuffled(copies: DataFrame) -> DataFrame:
+def shuffled(copies: DataFrame, pieces: int = PIECES) -> DataFrame:
     """The rows dealt out and sorted by ``order``, so that files hold them mixed."""
-    cut = copies.withColumn("_piece", _piece()).repartition("_piece")
+    cut = copies.withColumn("_piece", _piece(pieces)).repartition("_piece")
     return cut.sortWithinPartitions("_piece", "order").drop("_piece")
 
 
-def with_position(copies: DataFrame, id: str = "doc_id") -> DataFrame:
+def with_position(copies: DataFrame, id: str = "doc_id", pieces: int = PIECES) -> DataFrame:
     """``position`` in the shuffled order, gapless from 0 over all rows.
 
     The order is cut in pieces of equal range; each is sorted on its own and moved by
     the rows of those before it.
     """
-    cut = copies.withColumn("_piece", _piece())
+    cut = copies.withColumn("_piece", _piece(pieces))
     sizes = cut.groupBy("_piece").agg(F.count("*").alias("_n"))
-    starts = sizes.select(  # PIECES rows at most
+    starts = sizes.select(  # a row a piece
         F.col("_piece").alias("_at"), (F.sum("_n").over(Window.orderBy("_piece")) - F.col("_n")).alias("_start")
     )
     own = F.row_number().over(Window.partitionBy("_piece").orderBy("order", F.col("doc")[id], "copy"))
