@@ -129,6 +129,23 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, b
         .select("bucket")
     )
     here = stored(placed.join(stored(open_), "bucket", "left_semi").join(sets.select("key", "n"), "key"))
+    return (
+        blocks(here, block)
+        .join(sets, "key")
+        .select("bucket", "i", "j", "block", "comp", "n", "tokens")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+        .mapInArrow(_compare(percent), "u long, v long")
+    )
+
+
+def blocks(here: DataFrame, block: int) -> DataFrame:
+    """``bucket, key, comp, i, j, block``: the members of buckets, dealt to pairs of blocks.
+
+    ``here``, stored, has ``bucket, key, comp, n``. A row stands in ``block``, i or j, of the pair
+    (i, j). Blocks hold some ``block`` tokens. Pairs cover all members of unlike components: no
+    pair has two blocks of the largest component.
+    """
     each = here.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("tokens"))
     of = each.groupBy("bucket").agg(
         F.max(F.struct("c", "comp", "tokens")).alias("base"), F.sum("tokens").alias("tokens")
@@ -143,29 +160,12 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, b
     )
     at_base = F.col("comp") == F.col("base")
     spread = F.xxhash64("key")
-    dealt = here.join(of, "bucket").select(
-        "bucket",
-        "key",
-        "comp",
-        F.when(at_base, F.col("r") + F.pmod(spread, F.col("b"))).otherwise(F.pmod(spread, F.col("r"))).cast("int").alias(
-            "block"
-        ),
-        F.explode(F.sequence(F.lit(0), F.when(at_base, F.col("r")).otherwise(F.col("r") + F.col("b")) - 1)).alias("with"),
-    )
+    own = F.when(at_base, F.col("r") + F.pmod(spread, F.col("b"))).otherwise(F.pmod(spread, F.col("r")))
+    others = F.when(at_base, F.col("r")).otherwise(F.col("r") + F.col("b"))
     return (
-        dealt.join(sets, "key")
-        .select(
-            "bucket",
-            F.least("block", "with").alias("i"),
-            F.greatest("block", "with").alias("j"),
-            "block",
-            "comp",
-            "n",
-            "tokens",
-        )
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_compare(percent), "u long, v long")
+        here.join(of, "bucket")
+        .select("bucket", "key", "comp", own.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("with"))
+        .select("bucket", "key", "comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block")
     )
 
 
@@ -177,12 +177,17 @@ def connected(members: DataFrame, sets: DataFrame, percent: int, block: int = BL
     """
     first = components(stored(verified(_stars(members), sets, percent)))
     first = stored(first.select(F.col("node").alias("key"), "root"))
-    later = components(stored(_rest(members, first, sets, percent, block).distinct()))
+    return merged(first, _rest(members, first, sets, percent, block))
+
+
+def merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """``first (key, root)``, stored, with its components connected by ``links (u, v)``."""
+    later = components(stored(links.distinct()))
     later = stored(later.select(F.col("node").alias("_c"), F.col("root").alias("_r")))
     moved = first.join(later, F.col("root") == F.col("_c"), "left").select(
         "key", F.coalesce("_r", "root").alias("root")
     )
-    # Sets that only the blocks connected are components of their own before.
+    # Sets that only the later links connect are components of their own before.
     alone = later.join(first.select("key"), F.col("_c") == F.col("key"), "left_anti").select(
         F.col("_c").alias("key"), F.col("_r").alias("root")
     )

@@ -18,6 +18,12 @@ Sets link when ``100 * common >= percent * union``. All counts cover the whole t
 5. Tasks return, per class, its number of links and the smallest class it was found to
    be connected with, never pairs.
 
+Where only components are asked for, a cluster is not joined with itself: its blocks are
+first joined, by the same trees, with ``PIVOTS`` of its sets. In a group of near copies
+that connects all but a few. Only what it leaves unconnected is joined with the cluster. So
+the work on a cluster of near copies grows with its size; to count the links of each of
+its rows it has to grow with its square.
+
 Nulls: a null text has no words. Rows without an id are returned with a null component
 and link with nothing. Rows that repeat an id and text count as copies; a repeated id
 with other texts counts as one row for each text.
@@ -37,9 +43,12 @@ from pyspark.sql.window import Window
 from millrace.llm import textblocks as tb
 from millrace.llm.common import by_keys, prepare, stored
 from millrace.llm.graph import components
+from millrace.llm.links import blocks, merged
 
 #: N-grams in a block of a cluster; a task holds two blocks at most.
 BLOCK = 300_000
+#: Sets of a cluster that its others are joined with first.
+PIVOTS = 64
 
 
 def ngram_set(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -259,13 +268,93 @@ def _join_blocks(percent: int):
     return run
 
 
+_JOINED = "key long, links long, root long"
+
+
+def _all_links(placed: DataFrame, percent: int, block: int) -> DataFrame:
+    """``key, links, root`` of every two blocks of each cluster of ``placed``."""
+    weights = stored(
+        placed.groupBy("cluster").agg(
+            F.ceil(F.sum(F.size("tokens")) / F.lit(block)).cast("int").alias("blocks")
+        )
+    )
+    dealt = placed.join(weights, "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    )
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (
+        pairs.withColumn("i", F.least("block", "with"))
+        .withColumn("j", F.greatest("block", "with"))
+        .select("cluster", "i", "j", "block", "key", "n", "copies", "tokens", "often")
+        .repartition("cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j")
+        .mapInArrow(_join_blocks(percent), _JOINED)
+    )
+
+
+def _connected(placed: DataFrame, percent: int, block: int) -> DataFrame:
+    """``key, root``: each set that links with another, and the smallest key it reaches."""
+    columns = ("cluster", "i", "j", "block", "key", "n", "copies", "tokens", "often")
+    weights = stored(
+        placed.groupBy("cluster").agg(
+            F.ceil(F.sum(F.size("tokens")) / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("m")
+        )
+    )
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("key"), "key"))
+    pivots = stored(
+        placed.select("cluster", "key").withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).select("key")
+    )
+    own = placed.join(weights, "cluster").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    probes = (
+        placed.join(pivots, "key", "left_semi")
+        .join(weights, "cluster")
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    pivot = F.lit(-1)
+    near = (
+        own.withColumn("j", pivot).withColumn("block", F.col("i")).select(*columns)
+        .unionByName(probes.withColumn("j", pivot).withColumn("block", pivot).select(*columns))
+        .repartition("cluster", "i")
+        .sortWithinPartitions("cluster", "i", "j")
+        .mapInArrow(_join_blocks(percent), _JOINED)
+    )
+    edges = stored(near.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
+    first = stored(components(edges).select(F.col("node").alias("key"), "root"))
+
+    # Clusters that have more sets than pivots, and more than one component.
+    comps = stored(
+        placed.select("cluster", "key", "n")
+        .join(first, "key", "left")
+        .select(F.col("cluster").alias("bucket"), "key", "n", F.coalesce("root", "key").alias("comp"))
+    )
+    open_ = stored(
+        comps.groupBy("bucket")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+        .filter(f"lo < hi AND m > {PIVOTS}")
+        .select("bucket")
+    )
+    here = stored(comps.join(open_, "bucket", "left_semi"))
+    rest = (
+        blocks(here, block)
+        .join(placed.select("key", "n", "copies", "tokens", "often"), "key")
+        .select(F.col("bucket").alias("cluster"), "i", "j", "block", F.col("comp").alias("key"), *columns[5:])
+        .repartition("cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j")
+        .mapInArrow(_join_blocks(percent), _JOINED)
+    )
+    return merged(first, rest.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
+
+
 def _mark(id: str, text: str) -> Column:
     """A number for a row's id and text."""
     return F.xxhash64(F.col(id).cast("long"), F.col(text).cast("string"))
 
 
-def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, block: int) -> DataFrame:
-    """``id, mark, key, n, root, component, links`` for each row of ``docs``."""
+def _linked(
+    docs: DataFrame, id: str, text: str, k: int, percent: int, block: int, count: bool = True
+) -> DataFrame:
+    """``id, mark, key, n, root, component, links`` for each row of ``docs``; links only if
+    they are to be counted."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(
@@ -336,33 +425,19 @@ def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, block: in
     clusters = components(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
     placed = stored(sets.join(clusters, "key"))
-    weights = stored(
-        placed.groupBy("cluster").agg(
-            F.ceil(F.sum(F.size("tokens")) / F.lit(block)).cast("int").alias("blocks")
-        )
-    )
-    dealt = placed.join(weights, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    )
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = (
-        pairs.withColumn("i", F.least("block", "with"))
-        .withColumn("j", F.greatest("block", "with"))
-        .select("cluster", "i", "j", "block", "key", "n", "copies", "tokens", "often")
-        .repartition("cluster", "i", "j")
-        .sortWithinPartitions("cluster", "i", "j")
-        .mapInArrow(_join_blocks(percent), "key long, links long, root long")
-    )
-    found = stored(found)
-
-    # Blocks of one cluster meet in their common classes.
-    whole = components(found.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
-    whole = whole.select(F.col("node").alias("key"), "root")
+    if count:
+        found = stored(_all_links(placed, percent, block))
+        links = found.groupBy("key").agg(F.sum("links").alias("links"))
+        # Blocks of one cluster meet in their common classes.
+        whole = components(found.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
+        whole = whole.select(F.col("node").alias("key"), "root")
+    else:
+        whole = stored(_connected(placed, percent, block))
+        links = whole.select("key", F.lit(None).cast("long").alias("links"))
     smallest = stored(
         whole.join(classes, "key").groupBy("root").agg(F.min("label").alias("component"))
     )
     reached = whole.join(smallest, "root").select("key", "root", "component")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = stored(
         classes.join(links, "key", "left")
         .join(reached, "key", "left")
@@ -409,7 +484,7 @@ def jaccard_components(
 
 
 def one_of_each(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, block: int = BLOCK
 ) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest id.
 
@@ -417,7 +492,7 @@ def one_of_each(
     its text. A row that repeats an id with another text, which links with nothing, stays, as
     do rows without words or id; of those, identical ones stay as often as they are there.
     """
-    groups = stored(_linked(docs, id, text, k, percent, BLOCK).filter("root IS NOT NULL"))
+    groups = stored(_linked(docs, id, text, k, percent, block, count=False).filter("root IS NOT NULL"))
     first = groups.groupBy("root").agg(F.min(F.struct("id", "mark"))["mark"].alias("first"))
     drop = stored(
         groups.join(stored(first), "root").filter(F.col("mark") != F.col("first")).select("mark").distinct()

@@ -49,6 +49,24 @@ def test_tree_join_equals_all_pairs(percent):
         assert got.get(i, set()) == expected
 
 
+def test_one_of_each_of_a_large_group_compares_what_pivots_leave(spark, documents, monkeypatch):
+    from millrace.llm import prefix_tree_join as join
+
+    rng = random.Random(6)
+    base, rows = prose(rng, 80), []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(80)] = f"edit{rng.randrange(40)}"
+        rows.append((i, " ".join(text)))
+    docs = documents(rows)
+    expected = sorted(d for d, (_, c, _) in brute_components(docs.select("doc_id", "text").collect()).items() if c == d)
+    assert len(expected) > 3
+    for pivots, block in ((64, 300_000), (1, 300_000), (2, 1500)):
+        monkeypatch.setattr(join, "PIVOTS", pivots)
+        assert sorted(r.doc_id for r in join.one_of_each(docs, block=block).collect()) == expected
+
+
 def test_components_of_a_large_group_do_not_depend_on_blocks(spark, documents):
     """Near copies with random edits: some pairs link, some do not."""
     rng = random.Random(5)
