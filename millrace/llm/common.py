@@ -21,6 +21,10 @@ BROADCAST_KEYS = 500_000
 FILTER_BITS = 1 << 28
 
 
+#: Paths of the tables that ``stored`` has written.
+_MADE: list[str] = []
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once a session's context, wherever they run."""
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
@@ -67,9 +71,26 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    """How many tables ``stored`` has written, for ``discard``."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove the tables written since ``tables_made`` gave ``since``, but for ``keep``, which
+    is stored. Nothing that is still to be computed may need them."""
+    kept = {name for name in _MADE[since:] for file in keep.inputFiles()[:1] if name.rsplit("/", 1)[-1] in file}
+    for name in _MADE[since:]:
+        if name not in kept:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[since:] = [name for name in _MADE[since:] if name in kept]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
