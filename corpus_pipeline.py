@@ -3,18 +3,22 @@
 Each stage takes the session, the documents that the stage before it kept and the folder
 of the tables, and returns the documents that it keeps, with their columns; the last one
 returns their places in sequences. No stage looks at a part of its input only.
+
+Rows: documents without an id or with a repeated one go through all stages as rows like
+others; those without text or with few words go at the first. Very long texts are rows
+like others. Empty documents give no sequences. Columns of any name are carried on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import stored
+from millrace.llm.common import discard, stored, tables_made
 from millrace.llm.prefix_tree_join import one_of_each
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.queries import FLATTEN
 from millrace.llm.sequence_packing import packed
-from millrace.llm.source_mixing import mixed, shuffled, source_sizes, tempered_weights
+from millrace.llm.source_mixing import mixed, pieces_for, shuffled, source_sizes, tempered_weights
 from millrace.llm.suffix_dedup import without_repeats
 
 
@@ -36,8 +40,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so many that sources have flattened shares, shuffled."""
-    weights = tempered_weights(source_sizes(docs), FLATTEN)
-    return shuffled(mixed(docs, weights)).select("doc.*")
+    sizes = stored(source_sizes(docs))
+    return shuffled(mixed(docs, tempered_weights(sizes, FLATTEN)), pieces_for(sizes)).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each is written and read by the next one."""
+    """All stages on ``documents``; each is written and read by the next one.
+
+    When a stage is written, its input and the tables that it made on the way are removed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = tables_made()
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(spark, since, docs)
     return docs
