@@ -157,6 +157,31 @@ def test_repeated_rows_lose_no_neighbours(spark):
         assert sorted(map(tuple, nearest(repeated, F.col("vec_id") % 20 == 0).collect())) == once
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1 << 14])
+@pytest.mark.parametrize("kind", ["even", "lognormal", "one giant"])
+def test_recall_on_one_and_on_several_blocks(spark, monkeypatch, block, kind):
+    monkeypatch.setattr(collision_search, "BLOCK_NUMBERS", block)
+    monkeypatch.setattr(collision_search, "RANGE_ROWS", 300)
+    rng = np.random.default_rng(7)
+    table = rng.standard_normal((1500, 32))
+    if kind == "lognormal":
+        table *= rng.lognormal(0, 1, (1500, 1))
+    if kind == "one giant":
+        table[11] *= 1000
+    table = table.astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(table)]
+    found = {}
+    for r in nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = table @ table[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(1500), -scores))[:20].tolist()))
+    assert set(found) == set(range(0, 1500, 20)) and all(len(x) == 20 for x in found.values())
+    assert hits >= 0.9 * 20 * 75
+
+
 def test_one_id_with_several_vectors(spark, monkeypatch):
     monkeypatch.setattr(collision_search, "BLOCK_NUMBERS", 40)
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), *((7, [2.0, float(i)]) for i in range(30)), *((i, [0.5, 3.0]) for i in range(50, 60))]
