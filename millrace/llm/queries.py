@@ -79,6 +79,33 @@ def op3_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_components(_read(spark, directory, "documents"), k=5, percent=75)
 
 
+def _components_sql(k: int, percent: int, more: str) -> str:
+    """Sizes and components of documents linked by shingles, with further columns."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, g FROM (
+    SELECT r, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - {k} + 2), lambda i: array_to_string(words[i:i + {k} - 1], ' ')) END) AS g
+    FROM w)),
+n AS (SELECT w.r, doc_id, count(g) AS n FROM w LEFT JOIN s ON w.r = s.r GROUP BY w.r, doc_id),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (
+  SELECT x, y FROM p JOIN n AS nx ON nx.r = x JOIN n AS ny ON ny.r = y
+  WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+t(r, m) AS (SELECT r, r FROM n UNION SELECT t.r, l.y FROM t JOIN l ON l.x = t.m),
+c AS (SELECT t.r, min(n.doc_id) AS component_id FROM t JOIN n ON n.r = t.m GROUP BY t.r)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, {more} FROM n JOIN c ON c.r = n.r
+"""
+
+
+OP3_SQL = _components_sql(5, 75, "(SELECT count(*) FROM l WHERE x = n.r) AS n_links")
+
+
 def op4_sharding(spark: SparkSession, directory: str) -> DataFrame:
     """Documents in 24 shards of near equal bytes, equal texts together."""
     return sharded(_read(spark, directory, "documents"))
@@ -195,6 +222,9 @@ def op12_minhash(spark: SparkSession, directory: str) -> DataFrame:
     return minhash_components(_read(spark, directory, "documents"), k=2, percent=80)
 
 
+OP12_SQL = _components_sql(2, 80, "n.doc_id = c.component_id AS kept")
+
+
 def op13_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
     """The 10 documents of highest score for every item of the benchmark."""
     return ranked_search(_read(spark, directory, "documents"), _read(spark, directory, "benchmark"), k=10)
@@ -242,7 +272,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
+    "op3_ngram_join": OP3_SQL,
     "op6_suffix_dedup": OP6_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_minhash": OP12_SQL,
     "op13_ranked_search": OP13_SQL,
 }

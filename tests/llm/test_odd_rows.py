@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.bin_sharding import sharded
+from millrace.llm.circulant_minhash import minhash_components
+from millrace.llm.fill_in_middle import fill_in_middle, restored
 from millrace.llm.language_gru import languages
+from millrace.llm.mask_search import ranked_search
 from millrace.llm.prefix_tree_join import jaccard_components, one_of_each
 from millrace.llm.quality_ratio import quality_rules
 from millrace.llm.sequence_packing import packed
@@ -20,6 +27,10 @@ def labels(spark, rows=((1, 1, 0), (4, 1, 1), (None, None, None))):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
 
+def items(spark, rows=((1, "Word and größe"), (1, "SIX"), (2, None), (None, "word"), (3, "none of these"), (4, "x"))):
+    return spark.createDataFrame(list(rows), "item_id long, text string")
+
+
 def mix(docs):
     return mixed(docs, tempered_weights(source_sizes(docs), 0.7))
 
@@ -31,6 +42,8 @@ PER_ROW = {
     "shards": lambda s, d: sharded(d),
     "toxicity": lambda s, d: toxicity(d, labels(s)),
     "languages": lambda s, d: languages(d),
+    "fill in middle": lambda s, d: fill_in_middle(d),
+    "minhash": lambda s, d: minhash_components(d),
 }
 OTHERS = {
     "one of each": lambda s, d: one_of_each(d),
@@ -39,6 +52,7 @@ OTHERS = {
     "mixed": lambda s, d: with_position(mix(d)),
     "shuffled": lambda s, d: shuffled(mix(d)),
     "packed": lambda s, d: packed(d),
+    "ranked": lambda s, d: ranked_search(d, items(s)),
 }
 
 
@@ -145,3 +159,56 @@ def test_keys_beyond_a_broadcast_give_the_same_rows(spark, documents, monkeypatc
     monkeypatch.setattr(common, "FILTER_BITS", bits)
     assert all_rows() == few
     assert len(few[0]) + len(few[1]) == len(few[2]) == 500
+
+
+def test_fill_in_middle_of_odd_rows(spark, documents):
+    marked = [(20, "a <P> b\nc"), (21, "<S>"), (22, "a\nb<M>"), (23, "<Q>\n<p>\n"), (24, "\n" * 5000), (25, "é\n" * 50_000 + "end")]
+    found = fill_in_middle(documents(ODD + marked))
+    back = found.select("doc_id", "n", "form", "prefix_chars", "output", restored(F.col("output"), F.col("form")).alias("text"))
+    rows = [(r.doc_id, r.text) for r in back.collect()]
+    assert sorted(rows, key=str) == sorted(((i, t or "") for i, t in ODD + marked), key=str)
+    form = {r.doc_id: (r.n, r.form, r.prefix_chars) for r in back.collect()}
+    assert form[1] == form[2] == (0, "plain", None)
+    assert form[20] == (2, "plain", None) and form[21] == (1, "plain", None) and form[22][1] == "plain"
+    assert form[23][:2] in ((2, "spm"), (2, "psm")) and form[24][0] == 5000 and form[25][0] == 50_001
+
+
+def test_minhash_of_odd_rows(spark, documents):
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_components(documents(ODD)).collect()}
+    assert {(None, 4, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)} <= rows
+    assert {(4, 1, 4, True), (5, 1, 4, False), (6, 6, 6, True), (7, 1, 7, True)} <= rows
+
+
+def brute_ranks(docs, asked, k=10):
+    """item, rank, id, score from plain counts over all documents."""
+
+    def terms(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    own = defaultdict(set)
+    for i, t in asked:
+        if i is not None:
+            own[i] |= set(terms(t))
+    n = sum(bool(c) for _, c in counts)
+    total = sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, wanted in own.items():
+        scores = []
+        for i, c in counts:
+            m = 10 + (90 * sum(c.values()) * n) // total
+            weigh = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in wanted & set(c)}
+            score = sum(w * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t, w in weigh.items())
+            if i is not None and score > 0:
+                scores.append((-score, i))
+        out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def test_ranks_of_odd_rows(spark, documents):
+    found = ranked_search(documents(ODD), items(spark))
+    expected = brute_ranks(ODD, [tuple(r) for r in items(spark).collect()])
+    assert {item for item, *_ in expected} == {1} and len(expected) == 5
+    assert sorted(map(tuple, found.collect())) == expected
+    assert ranked_search(documents(ODD), items(spark).filter("false")).collect() == []

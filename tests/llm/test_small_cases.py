@@ -653,3 +653,67 @@ def test_the_suffix_array_knows_the_nearest_of_all(spark, with_conf):
         same = [(x[0], x[1], x[6]) for x in rows if x[2:6] == r[2:6]]
         found = got[r[6]]
         assert (found.level, tuple(found.lo), tuple(found.hi)) == (level, min(same), max(same))
+
+
+def test_signatures_are_minima_of_one_shifted_permutation():
+    from millrace.llm import circulant_minhash as cm
+
+    rng = np.random.default_rng(9)
+    s = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    table = np.random.default_rng(2).permutation(cm.PLACES)
+    got = cm.signature(s, cm.BANDS * cm.ROWS)
+    for k in (0, 1, 7, cm.BANDS * cm.ROWS - 1):
+        assert got[k] == min(np.roll(table, -k)[p] for p in cm.places(s))
+    # Coordinates agree as often as the sets are alike.
+    a, b = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64)), None
+    b = np.append(a[:800], rng.integers(0, 2**63, 100, dtype=np.uint64))
+    share = (cm.signature(a) == cm.signature(b)).mean()
+    assert abs(share - 0.8) < 0.1
+
+
+def test_minhash_of_a_large_group_equals_brute_force(spark, documents):
+    from millrace.llm.circulant_minhash import minhash_components
+
+    rng = random.Random(8)
+    rows = []
+    for c in range(3):
+        base = prose(rng, 60)
+        for i in range(50):
+            text = list(base)
+            for _ in range(rng.randrange(5)):
+                text[rng.randrange(60)] = f"edit{rng.randrange(30)}"
+            rows.append((100 * c + i, " ".join(text)))
+    rows += [(400 + i, rows[i][1].upper()) for i in range(20)]
+    sets = {i: set(zip(t.lower().split(), t.lower().split()[1:])) for i, t in rows}
+    least = {i: i for i in sets}
+    changed = True
+    pairs = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(least[i], least[j])
+            changed |= least[i] != low or least[j] != low
+            least[i] = least[j] = low
+    assert 3 < len(set(least.values())) < 150
+    for block in (200_000, 700):
+        got = {r.doc_id: (r.component_id, r.kept) for r in minhash_components(documents(rows), block=block).collect()}
+        assert got == {i: (c, c == i) for i, c in least.items()}
+
+
+def test_masks_rank_as_scoring_every_document_does(monkeypatch):
+    """Blocks of documents and items of more than 64 terms, against all scores."""
+    from millrace.llm import mask_search as ms
+
+    rng = np.random.default_rng(13)
+    for terms, documents in ((5, 300), (90, 200)):
+        held = rng.random((documents, terms)) < rng.random(terms) ** 3
+        times = np.where(held, rng.integers(1, 6, held.shape), 0)
+        row, term = np.nonzero(times)
+        m, weights = rng.integers(10, 400, documents), rng.integers(0, 3000, terms)
+        ids = rng.permutation(documents) // 2  # some ids repeat
+        block = ms.Block(ids, m, row, term, times[row, term])
+        places, scores, scored = block.best(np.arange(terms), weights, 10)
+        each = (weights * ((10**9 * times) // (1000 * times + 8 * m[:, None]))).sum(axis=1)
+        best = np.lexsort((ids, -each))[:10]
+        assert [(ids[p], s) for p, s in zip(places, scores)] == [(ids[p], each[p]) for p in best if each[p] > 0]
+        assert scored < documents
