@@ -1,13 +1,14 @@
 """Nearest vectors by largest inner product, with collision-counting hashing.
 
-Vectors are dealt to ranges of length, and those of a range to blocks of bounded size by a
-hash of their id and numbers. In a block each of many random projections is one sorted
-array. A query opens a window around its own value in every array and counts, for each
-vector, in how many windows it lies. Windows are widened step by step, as if the arrays
-were hashed anew with wider buckets, and only what a window gained is counted. Vectors
-that reach the collision threshold are verified. The search of a block ends when the windows
-are as wide as the distance of the k-th best that was verified, here or in blocks before, in
-proportion ``REACH``, or hold everything; no count of candidates ends it, so none is cut off.
+Vectors are dealt to ranges of length, each down to its largest by ``RATIO``, and those
+of a range to blocks of bounded size by a hash of their id and numbers. In a block each
+of many random projections is one sorted array. A query opens a window around its own
+value in every array and counts, for each vector, in how many windows it lies. Windows
+are widened step by step, as if the arrays were hashed anew with wider buckets, and only
+what a window gained is counted. Vectors that reach the collision threshold are
+verified. The search of a block ends when the windows are as wide as the distance of the
+k-th best that was verified, here or in blocks before, in proportion ``REACH``, or hold
+everything; no count of candidates ends it, so none is cut off.
 
 Inner products become distances by one more coordinate, which gives all vectors of a
 block the same length. It is small, and the projections tell vectors apart, because a block's
@@ -28,6 +29,7 @@ table, or one without queries, gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +52,8 @@ BLOCK_NUMBERS = 1 << 20
 PARALLEL = 64
 #: Queries that a task has at least, where blocks are sent more than once.
 QUERIES = 1024
-#: Ranges of length, at most, and rows from which there is one more.
-RANGES, RANGE_ROWS = 64, 1000
+#: A range of length goes down to its largest by this; there are so many ranges at most.
+RATIO, RANGES = 1.25, 64
 
 
 def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -204,13 +206,11 @@ def nearest(
     rows = stored(
         each.groupBy("id", "vector", "dim").agg(F.max("query").alias("query")).withColumn("length", length)
     )
-    ranges = max(1, min(RANGES, rows.count() // RANGE_ROWS))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.approxQuantile("length", shares, 0.1 / ranges))) if shares else []
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("length"))) if cuts else F.lit(0)
-    ranged = rows.withColumn("range", at)
+    longest = rows.agg(F.max("length")).first()[0] or 1.0
+    at = F.floor(F.log(F.lit(longest) / F.col("length")) / math.log(RATIO)).cast("int")
+    ranged = rows.withColumn("range", F.least(F.greatest(at, F.lit(0)), F.lit(RANGES - 1)))
     held = ranged.groupBy("range").agg(F.sum("dim").alias("n"), F.max("length").alias("most")).collect()  # RANGES rows
-    held = sorted(held, key=lambda r: -r["range"])
+    held = sorted(held, key=lambda r: r["range"])
     ranged = stored(ranged)
     # A multi-vector id is one query: its length is that of the longest.
     asked = stored(ranged.filter("query").select("id", "vector", "dim", "length"))

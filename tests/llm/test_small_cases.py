@@ -62,7 +62,7 @@ def test_one_of_each_of_a_large_group_compares_what_pivots_leave(spark, document
     docs = documents(rows)
     expected = sorted(d for d, (_, c, _) in brute_components(docs.select("doc_id", "text").collect()).items() if c == d)
     assert len(expected) > 3
-    for pivots, block in ((64, 300_000), (1, 300_000), (2, 1500)):
+    for pivots, block in ((1, 300_000), (2, 1500)):
         monkeypatch.setattr(join, "PIVOTS", pivots)
         assert sorted(r.doc_id for r in join.one_of_each(docs, block=block).collect()) == expected
 
@@ -161,7 +161,6 @@ def test_repeated_rows_lose_no_neighbours(spark):
 @pytest.mark.parametrize("kind", ["even", "lognormal", "one giant"])
 def test_recall_on_one_and_on_several_blocks(spark, monkeypatch, block, kind):
     monkeypatch.setattr(collision_search, "BLOCK_NUMBERS", block)
-    monkeypatch.setattr(collision_search, "RANGE_ROWS", 300)
     rng = np.random.default_rng(7)
     table = rng.standard_normal((1500, 32))
     if kind == "lognormal":
